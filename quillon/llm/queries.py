@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import near_duplicates, shared_spans
+from quillon.llm import language, leaks, near_duplicates, shared_spans
 from quillon.session import table
 
 
@@ -28,7 +28,30 @@ def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amount(shared_spans.shared_spans(paragraphs, "paragraph_id"), paragraphs, "paragraph_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_shared": p5_shared}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("verbatim").select("doc_id", "item_id")
+
+
+def p8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with small edits too: how many windows of a document are like an item's."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id", "n_windows", "verbatim")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(table(spark, sf_dir, "documents")).select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p5_found": p5_found,
+    "p5_shared": p5_shared,
+    "p8_found": p8_found,
+    "p8_similar": p8_similar,
+    "p9_found": p9_found,
+}
 
 _TOKENS = """toks as (select paragraph_id, regexp_extract_all(lower(max(text)), '[a-z0-9]+') as t from paragraphs where text is not null group by 1)"""
 _PAIRS = f"""with {_TOKENS},
@@ -43,7 +66,12 @@ runs as (select paragraph_id, pos, sum(case when gap <= 20 then 0 else 1 end) ov
          from (select *, pos - lag(pos) over (partition by paragraph_id order by pos) as gap from hit)),
 spans as (select paragraph_id, min(pos) as span_start, max(pos) + 20 - min(pos) as span_tokens from runs group by paragraph_id, run)"""
 
+_WORDS = """regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')"""
+_RUNS = "select {0}, unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) as s from (select {0}, {1} as t from {2}) where len(t) >= 13"
+
 SQL = {
+    "p8_found": f"""with i as (select distinct * from ({_RUNS.format("item_id", _WORDS, "eval_items")})), d as ({_RUNS.format("doc_id", _WORDS, "documents")})
+select distinct doc_id, item_id from d join i using (s)""",
     "p1_found": f"{_PAIRS} select a as paragraph_id_a, b as paragraph_id_b from pairs where j >= 0.5",
     "p1_groups": f"""{_PAIRS}, sets as (select id, list(s order by s) as c from sh group by 1),
 links as (select id, count(distinct c) filter (c <> mine) as n_links, count(*) as n from (
