@@ -32,8 +32,8 @@ SAMPLE_PER_LANGUAGE, SEED = 250, 17
 #: Window length in bytes; a sentence is covered by windows of which the last ends with it.
 LENGTH = 96
 DIM, FILTERS, WIDTHS = 8, 16, (2, 4, 6)
-#: Training batches of the first rounds and of the last.
-STEPS = (200, 600)
+#: Training batches of the two judges and of the network.
+STEPS = (150, 400)
 #: A sentence is sure of its language from this probability on; others look to the languages with such a share of their text.
 SURE, LIKELY = 0.95, 0.1
 #: Letters below which a piece between full stops isn't taken for a sentence of its own.
@@ -42,7 +42,7 @@ FEW_LETTERS, FEW_IDEOGRAPHS = 18, 6
 _BLOCK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+")
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|《[^》]*》|\"[^\"]*\"")
 _STOP = re.compile(r"(?<=[.!?])[\s]+|(?<=[。！？])")
-_CODE = re.compile(r"[^\W_]*\d[\w,.\-]*|[^\w\s'’]|_")
+_CODE = re.compile(r"\b[^\W\d_]*+\d[\w,.\-]*|[^\w\s'’]+|_+")
 _GAP = re.compile(r"\s+")
 
 
@@ -57,11 +57,16 @@ def label_language(c: Column) -> Column:
 
 def sentences(block: str) -> list[str]:
     """The pieces of a block between full stops, quoted text, codes and signs removed, lower case."""
-    return [_GAP.sub(" ", _CODE.sub(" ", s)).strip() for s in _STOP.split(_QUOTED.sub(" ", block).lower())]
+    pieces = "\n".join(_GAP.sub(" ", s) for s in _STOP.split(_QUOTED.sub(" ", block).lower()))
+    return [s.strip() for s in _CODE.sub("", pieces).split("\n")]
+
+
+def letters_in(s: str) -> int:
+    return len(s) - s.count(" ")
 
 
 def enough(s: str) -> bool:
-    letters = sum(map(str.isalpha, s))
+    letters = letters_in(s)
     return letters >= FEW_LETTERS or (letters >= FEW_IDEOGRAPHS and any("一" <= c <= "鿿" for c in s))
 
 
@@ -178,31 +183,38 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     return [(r[0], r[1]) for r in picked.select("l", F.left("text", F.lit(20_000)).alias("text")).limit(2 * per_language * len(LANGUAGES)).collect()]
 
 
-def train(sample: list[tuple[str, str]], rounds: int = 2, per_text: int = 12) -> ByteNetwork:
-    """A network trained on the sample's sentences; after each round, sentences that the network surely gives another language than their text's label are put right or left out, because labels are wrong at times and texts mixed."""
+def train(sample: list[tuple[str, str]], per_text: int = 12) -> ByteNetwork:
+    """A network trained on the sample's sentences.
+
+    Labels are wrong at times and texts mixed, so two networks are first trained on half of the texts each and judge
+    the sentences of the other half: those surely in another language than their text's label get that language, those
+    merely doubted are left out of the last training.
+    """
     rng = np.random.default_rng(SEED)
     said: list[str] = []
     label: list[int] = []
-    for lang, text in sorted(sample):
+    half: list[int] = []
+    for n, (lang, text) in enumerate(sorted(sample)):
         own = [s for b in _BLOCK.split(text) for s in sentences(b) if enough(s)]
         for i in rng.permutation(len(own))[:per_text]:
             said.append(own[i])
             label.append(LANGUAGES.index(lang))
-    y = np.array(label, np.int64)
+            half.append(n % 2)
     net = ByteNetwork(len(LANGUAGES))
     if not said:
         return net
-    keep = np.ones(len(y), bool)
-    for r in range(rounds):
-        net = ByteNetwork(len(LANGUAGES))
-        x, of = byte_windows([s for s, k in zip(said, keep, strict=True) if k])
-        net.fit(x, y[keep][of], STEPS[r + 1 == rounds])
-        if r + 1 < rounds:
-            prob = net.sentences(said)
-            best = prob.argmax(1)
-            sure = prob.max(1) > 0.9
-            keep = (best == y) | sure
-            y = np.where(sure, best, y)
+    y, part, keep = np.array(label, np.int64), np.array(half), np.ones(len(said), bool)
+    x, of = byte_windows(said)
+    judged = y.copy()
+    for k in (0, 1):
+        judge = ByteNetwork(len(LANGUAGES))
+        judge.fit(x[part[of] == k], y[of[part[of] == k]], STEPS[0])
+        other = np.flatnonzero(part != k)
+        prob = judge.sentences([said[i] for i in other])
+        best, sure = prob.argmax(1), prob.max(1) > SURE
+        keep[other] = (best == y[other]) | sure
+        judged[other] = np.where(sure, best, y[other])
+    net.fit(x[keep[of]], judged[of[keep[of]]], STEPS[1])
     return net
 
 
@@ -212,26 +224,28 @@ def segment_languages(net: ByteNetwork, texts: list[str]) -> list[list[tuple[int
     for i, t in enumerate(texts):
         for k, block in enumerate(_BLOCK.split(t.strip()), 1):
             for s in sentences(block):
-                if any(map(str.isalpha, s)):
+                if s:
                     said.append(s)
-                    place.append((i, k, enough(s), sum(map(str.isalpha, s))))
+                    place.append((i, k, enough(s), letters_in(s)))
     prob = net.sentences(said)
     votes: list[dict] = [{} for _ in texts]
     loose: list[list] = [[] for _ in texts]
+    if not said:
+        return [[] for _ in texts]
+    doc, _, whole, letters = (np.array(c) for c in zip(*place, strict=True))
     weight = np.zeros((len(texts), len(LANGUAGES)))  # letters by language, of the sentences of each text
-    for (i, _, whole, letters), p in zip(place, prob, strict=True):
-        if whole:
-            weight[i] += letters * p
-    likely = weight > LIKELY * weight.sum(1, keepdims=True)
-    for (i, k, whole, letters), p in zip(place, prob, strict=True):
-        j = int(p.argmax())
-        if whole and p[j] < SURE and likely[i].any():  # an unsure sentence has one of its text's languages
-            j = int(np.where(likely[i], p, -1).argmax())
-        if whole:
-            n, s = votes[i].get((k, j), (0, 0.0))
-            votes[i][k, j] = (n + letters, s + letters * float(p[j]))
+    np.add.at(weight, doc[whole], letters[whole, None] * prob[whole])
+    likely = (weight > LIKELY * weight.sum(1, keepdims=True))[doc]
+    best = prob.argmax(1)
+    unsure = (prob.max(1) < SURE) & likely.any(1)  # an unsure sentence has one of its text's languages
+    best = np.where(unsure, np.where(likely, prob, -1).argmax(1), best)
+    of_best = prob[np.arange(len(best)), best]
+    for n, ((i, k, full, size), j, p) in enumerate(zip(place, best.tolist(), of_best.tolist(), strict=True)):
+        if full:
+            m, s = votes[i].get((k, j), (0, 0.0))
+            votes[i][k, j] = (m + size, s + size * p)
         else:
-            loose[i].append((letters, p))
+            loose[i].append((size, prob[n]))
     out = []
     for v, rest in zip(votes, loose, strict=True):
         if not v and rest:  # nothing but short pieces: together they count
