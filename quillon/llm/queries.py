@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import language, leaks, near_duplicates, shared_spans
+from quillon.llm import language, leaks, near_duplicates, scan_noise, shared_spans
 from quillon.session import table
 
 
@@ -18,6 +18,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, sf_dir, "paragraphs"), "paragraph_id", 0.8).select("paragraph_id", "n_links")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.defects(table(spark, sf_dir, "paragraphs"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, sf_dir, "paragraphs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "paragraphs"), "paragraph_id")
 
@@ -46,6 +54,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p5_found": p5_found,
     "p5_shared": p5_shared,
     "p8_found": p8_found,
