@@ -20,7 +20,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Cost of n tokens in one document: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Share of the tokens, in the smallest documents, that fills the gaps.
-TAIL = 0.1
+TAIL = 0.5
 #: Pieces in a shard, about.
 SHARD_PIECES = 50_000
 
