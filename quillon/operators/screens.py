@@ -109,9 +109,15 @@ def integer_counts(rows: DataFrame, tolerance: float = 1e-3, min_n: int = MIN_CO
     return r.select("table_id", "row_idx", issue.alias("issue"))
 
 
-def _shares(cells: DataFrame, value: Column, extra: list | None = None) -> DataFrame:
+def _by_text(cells: DataFrame) -> DataFrame:
+    """(table_id, col, text, n, first): equal texts counted before any digit is looked at."""
+    return cells.groupBy("table_id", "col", "text").agg(F.count("*").alias("n"), F.min("row_idx").alias("first"))
+
+
+def _shares(cells: DataFrame, value: Column) -> DataFrame:
     """Per (table_id, col, value): n, first row; with the column's total."""
-    counted = cells.withColumn("v", value).where("v is not null").groupBy("table_id", "col", "v").agg(F.count("*").alias("n"), F.min("row_idx").alias("first"))
+    valued = _by_text(cells).withColumn("v", value).where("v is not null")
+    counted = valued.groupBy("table_id", "col", "v").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     return counted.withColumn("total", F.sum("n").over(Window.partitionBy("table_id", "col")))
 
 
@@ -125,8 +131,8 @@ def terminal_digits(cells: DataFrame, dominance: float = 0.65, min_count: int =
 
 def rounding(cells: DataFrame, threshold: float = 0.85, min_count: int = MIN_DIGITS) -> DataFrame:
     """(table_id, col, total, share, flagged): share of values that end in 0 or 5."""
-    d = N.terminal_digit(F.col("text"))
-    g = cells.where("col <> 'n'").groupBy("table_id", "col").agg(F.count(d).alias("total"), F.count_if(d.isin("0", "5")).alias("k")).where(F.col("total") >= min_count)
+    d = _by_text(cells.where("col <> 'n'")).withColumn("d", N.terminal_digit(F.col("text"))).where("d is not null")
+    g = d.groupBy("table_id", "col").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("d").isin("0", "5"), F.col("n")).otherwise(0)).alias("k")).where(F.col("total") >= min_count)
     share = F.col("k") / F.col("total")
     return g.select("table_id", "col", "total", F.round(share, 6).alias("share"), (share >= threshold).alias("flagged"))
 
@@ -194,6 +200,7 @@ def fits(pairs: DataFrame, min_pairs: int = 4) -> DataFrame:
     g = pairs.groupBy(*keys).agg(
         F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.corr("x", "y").alias("corr"),
         F.greatest(F.lit(1.0), F.max(F.abs("x")), F.max(F.abs("y"))).alias("scale"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"),
+        F.approx_count_distinct("x", 0.02).alias("dx"), F.approx_count_distinct("y", 0.02).alias("dy"),
     ).where(F.col("n") >= max(3, min_pairs)).where("vx > 0 and vy > 0")
     residual = F.abs(F.col("y") - (F.col("slope") * F.col("x") + F.col("intercept")))
     worst = pairs.join(g, keys).groupBy(*keys).agg(F.max(residual).alias("worst"))
@@ -216,7 +223,8 @@ def column_relations(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     keys = ["table_id", "left", "right"]
     w = Window.partitionBy(*keys).orderBy("x", "row_idx")
     rises = (F.col("x") > F.lag("x").over(w)) & (F.col("y") > F.lag("y").over(w))
-    high = own.join(f.where(~_exact(tolerance) & (F.col("corr") > 0)).select(*keys), keys)  # only these can have equal ranks
+    # Only these can have equal ranks and all values different; the estimates are ten standard errors from it.
+    high = own.join(f.where(~_exact(tolerance) & (F.col("corr") > 0) & (F.least("dx", "dy") >= 0.8 * F.col("n"))).select(*keys), keys)
     order = high.withColumn("up", F.coalesce(rises, F.lit(True))).groupBy(*keys).agg(F.min("up").alias("same_rank"))
     named = f.join(order, keys, "left")
     relation = F.when(_exact(tolerance), N.relation_label(F.col("slope"), F.col("intercept"), F.col("scale"), tolerance)).when(F.col("same_rank"), "same_rank").when(F.abs("corr") >= 0.995, "correlated")
