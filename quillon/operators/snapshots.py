@@ -11,11 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.paths import normal_path, strip
-from quillon.session import bucketed, table
-
-#: Rows of a snapshot that one bucket is meant to hold.
-ROWS_PER_BUCKET = 2_000_000
-
+from quillon.session import bucketed, materialise, table
 
 def listing(manifest: DataFrame) -> DataFrame:
     """One row per package, snapshot and normalised path: (package_root, snapshot_no, path, hash).
@@ -87,8 +83,8 @@ def snapshot_changes(manifest: DataFrame, buckets: int | None = None) -> DataFra
     _, values = bucketed(files, "listing", "key", buckets)
     first = values.groupBy("package_root").agg(F.min("snapshot_no").alias("first_no"))
     packages = values.groupBy("package_root", "snapshot_no").agg(F.count("*").alias("files")).join(first, "package_root")
-    numbers = [r[0] for r in values.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]  # one per delivery
-    packages = packages.select("package_root", "snapshot_no", (F.col("snapshot_no") == F.col("first_no")).alias("first"))
+    packages = materialise(packages.select("package_root", "snapshot_no", (F.col("snapshot_no") == F.col("first_no")).alias("first")), "packages")
+    numbers = [r[0] for r in packages.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]  # one per delivery
     index, out = SnapshotIndex(spark, buckets), []
     for no in numbers:
         of = values.where(F.col("snapshot_no") == no)
