@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import numbers as N
 from quillon.operators import screens as S
 from quillon.session import table
 
-TABLE = F.concat_ws("/", "package_root", "figure_file")
 SUMMARY = ["mean", "sd", "sem", "n", "p_value"]
 PAIRED = ["control_day0", "treated_day0", "control_day2", "treated_day2", "doubled", "discount", "tax"]
 
 
+def file_id() -> Column:
+    """Names the file a row of a figure table comes from."""
+    return F.concat_ws("/", "package_root", "figure_file")
+
+
 def latest(df: DataFrame) -> DataFrame:
     """One row per row_id, the latest delivery."""
     cols = [c for c in df.columns if c not in ("row_id", "ingested_at")]
@@ -29,8 +33,8 @@ def fig6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def figure_cells(spark: SparkSession, d: str) -> DataFrame:
-    a = S.melt(fig7(spark, d), TABLE, F.col("row_id"), SUMMARY)
-    return a.unionByName(S.melt(fig6(spark, d), TABLE, F.col("row_id"), ["value"]))
+    a = S.melt(fig7(spark, d), file_id(), F.col("row_id"), SUMMARY)
+    return a.unionByName(S.melt(fig6(spark, d), file_id(), F.col("row_id"), ["value"]))
 
 
 def line_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -93,11 +97,11 @@ def a02_format_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a03_summary_checks(spark: SparkSession, d: str) -> DataFrame:
-    return S.check_summaries(S.summary_rows(fig7(spark, d), TABLE, "row_id"))
+    return S.check_summaries(S.summary_rows(fig7(spark, d), file_id(), "row_id"))
 
 
 def a09_integer_counts(spark: SparkSession, d: str) -> DataFrame:
-    return S.integer_counts(S.summary_rows(fig7(spark, d), TABLE, "row_id")).groupBy("table_id", F.coalesce("issue", F.lit("none")).alias("issue")).agg(F.count("*").alias("n_rows"))
+    return S.integer_counts(S.summary_rows(fig7(spark, d), file_id(), "row_id")).groupBy("table_id", F.coalesce("issue", F.lit("none")).alias("issue")).agg(F.count("*").alias("n_rows"))
 
 
 def a10_terminal_digits(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +129,7 @@ def a15_p_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a16_repeated_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return S.repeated_summaries(S.summary_rows(fig7(spark, d), TABLE, "row_id"))
+    return S.repeated_summaries(S.summary_rows(fig7(spark, d), file_id(), "row_id"))
 
 
 def paired_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -181,14 +185,14 @@ def a24_time_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a25_sequence_reuse(spark: SparkSession, d: str) -> DataFrame:
-    cells = S.numeric_cells(S.melt(fig7(spark, d), TABLE, F.col("row_id"), ["n", "sem"]))
+    cells = S.numeric_cells(S.melt(fig7(spark, d), file_id(), F.col("row_id"), ["n", "sem"]))
     top = cells.withColumn("k", F.row_number().over(S.Window.partitionBy("table_id", "col").orderBy("row_idx"))).where("k <= 5")
     seq = top.groupBy("table_id", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("values"))
     return S.sequence_reuse(seq.select(F.col("table_id").alias("file"), "col", "values"))
 
 
 def a26_pseudoreplication(spark: SparkSession, d: str) -> DataFrame:
-    return S.pseudoreplication(fig6(spark, d), TABLE, F.lit("all"), "animal_id", "field_id", "reported_n_basis")
+    return S.pseudoreplication(fig6(spark, d), file_id(), F.lit("all"), "animal_id", "field_id", "reported_n_basis")
 
 
 def a26_pseudoreplication_events(spark: SparkSession, d: str) -> DataFrame:
