@@ -214,7 +214,15 @@ def g02_image_cluster_summary(spark, sf_dir):
     return members.join(own, "cluster").select("cluster", "n_images", "n_edges", F.col("e.left_id").alias("left_id"), F.col("e.right_id").alias("right_id"))
 
 
-QUERIES |= {"g01_image_clusters": g01_image_clusters, "g02_image_cluster_summary": g02_image_cluster_summary}
+def sc83_perceptual_hashes(spark, sf_dir):
+    """Perceptual hashes of all embeddings as images; matrix algebra, so no SQL."""
+    from quillon.operators.images import perceptual_hashes
+    from quillon.session import table
+
+    return perceptual_hashes(table(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "embedding as px"))
+
+
+QUERIES |= {"sc83_perceptual_hashes": sc83_perceptual_hashes, "g01_image_clusters": g01_image_clusters, "g02_image_cluster_summary": g02_image_cluster_summary}
 
 _REACH = f"""with recursive {_near_pairs(DUCK)}, sym as (select left_id as a, right_id as b from edges union select right_id, left_id from edges),
 reach(a, b) as (select a, b from sym union select reach.a, sym.b from reach join sym on sym.a = reach.b), label as (select a as image, least(a, min(b)) as cluster from reach group by a)"""

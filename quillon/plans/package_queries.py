@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans.dialect import Spark, both
+from pyspark.sql import DataFrame
+
+from quillon.plans.dialect import SPARK, Spark, both
 
 #: Categories by keyword, with the suffixes they are limited to.
 CATEGORY_RULES = [
@@ -251,13 +253,14 @@ _CANDIDATES = [
 ]
 
 
-def _calibration(d: Spark) -> str:
+def _calibration(d: Spark, cands: str | None = None) -> str:
     """Risk as the minimum of the suggested risk and all caps; the log of caps as the ones that lower a running minimum."""
     rule = lambda section, caps: [(section, t, int(r[1]), u) for t, (r, u) in caps.items()]
     rules = rule(1, CAPS) + rule(2, CONTEXT_CAPS)
     start = "coalesce(" + ("cast(nullif(array_max(regexp_extract_all(upper(suggestion), r'R([0-4])', 1)), '') as int)" if d.spark else "list_max(regexp_extract_all(upper(suggestion), 'R([0-4])', 1))::int") + ", case strength when 'direct_contradiction' then 4 when 'strong_candidate' then 3 when 'candidate' then 2 else 1 end)"
     distinct = "array_distinct" if d.spark else "list_distinct"
-    return f"""{d.values('cands', 'id, mode, tag, suggestion, strength, tag2, complete', _CANDIDATES)}, {d.values('rules', 'section, tag, cap, lifted', rules)},
+    cands = cands or d.values("cands", "id, mode, tag, suggestion, strength, tag2, complete", _CANDIDATES)
+    return f"""{cands}, {d.values('rules', 'section, tag, cap, lifted', rules)},
 {d.values('modes', 'mode, cap, missing_cap', [(m, int(a[1]), int(b[1]) if b else None) for m, (a, b) in MODES.items()])},
 tagged as (select id, mode, complete, {start} as start_, {distinct}({d.array('tag', 'tag2', 'strength')}) as tags from cands),
 each_ as (select id, {d.unnest('tags')} as tag from tagged), r4 as (select id, max(case when tag in ({_quoted(R4_TAGS)}) then 1 else 0 end) as has_r4, max(case when tag in ({_quoted(MISSING_TAGS)}) then 1 else 0 end) as lacking,
@@ -396,6 +399,14 @@ def sc72_owners(d: Spark) -> str:
     return f"with {_claims(d)} select row_id, {_owner('lower(concat(coalesce(source_data, ' + repr('') + '), coalesce(claim_text, ' + repr('') + ')))')} as owner from claims"
 
 
+def calibrated(candidates: DataFrame) -> DataFrame:
+    """(id, suggested, risk) of candidates (id, mode, tag, suggestion, strength, tag2, complete); those that are positive evidence are left out."""
+    name = "quillon_candidates"
+    candidates.createOrReplaceTempView(name)
+    sql = f"with {_calibration(SPARK, f'cands as (select * from {name})')} select id, concat('R', start_) as suggested, concat('R', risk) as risk from final where not as_positive"
+    return candidates.sparkSession.sql(sql)
+
+
 QUERIES, SQL = both([
     sc60_file_categories, sc61_figure_keys, sc62_roles, sc63_resource_ids, sc64_modalities, sc66_references, sc67_package_hash, sc69_publication_status, sc71_expected_risk, sc72_owners,
     a27_missing_materials, a28_claim_coverage, a29_risk_histogram, a30_overall_risk, a31_action_queue, a33_unsupported_formats, a34_checklist, a36_eval_metrics, a38_dedup_records,
