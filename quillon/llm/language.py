@@ -173,7 +173,10 @@ class ByteNetwork:
 
 
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(language, text) of at most about ``per_language`` documents whose label names each language, picked by a hash of their text."""
+    """(language, text) of at most about ``per_language`` documents whose label names each language, picked by a hash of their text.
+
+    The sample alone is bounded, in texts and in characters of a text; the network is applied to whole texts.
+    """
     named = documents.select(label_language(F.col("lang")).alias("l"), "text").where("l is not null and text is not null")
     counts = dict(named.groupBy("l").agg(F.count("*").alias("n")).collect())  # nine at most
     share = F.lit(0.0)
