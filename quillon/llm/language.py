@@ -42,7 +42,9 @@ FEW_LETTERS, FEW_IDEOGRAPHS = 18, 6
 _BLOCK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+")
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|《[^》]*》|\"[^\"]*\"")
 _STOP = re.compile(r"(?<=[.!?])[\s]+|(?<=[。！？])")
-_CODE = re.compile(r"\b[^\W\d_]*+\d[\w,.\-]*|[^\w\s'’]+|_+")
+#: Ideographs stand next to codes and numbers without a blank and are no part of them.
+_IDEOGRAPHS = "〇㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_CODE = re.compile(rf"(?<![^\W{_IDEOGRAPHS}])[^\W\d_{_IDEOGRAPHS}]*+\d(?:[^\W{_IDEOGRAPHS}]+|[,.\-]+)*+|[^\w\s'’]+|_+")
 _GAP = re.compile(r"\s+")
 
 

@@ -56,3 +56,12 @@ def test_labels(spark):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, seg_no int")
     assert L.wrong_labels(docs).count() == 0
+
+
+def test_ideographs_next_to_numbers_and_codes(trained):
+    zh = "体重的变化过程并不依赖354.3个单位的阈值并以TE-9342编号存档。"
+    assert L.sentences(zh) == ["体重的变化过程并不依赖个单位的阈值并以te编号存档", ""]
+    assert L.sentences("第3ED12，第４号pq7") == ["第第号"] and L.sentences("Lot AB12-x,9 of 1.5mg was kept.") == ["lot  of  was kept"]
+    net, _ = trained
+    en = "The outer margin with low values showed a persistent cohort of cells following dose escalation, because the offset drifted."
+    assert [(k, lang) for k, lang, _ in L.segment_languages(net, [en + "\n\n" + zh])[0]] == [(1, "en"), (2, "zh")]
