@@ -185,9 +185,9 @@ def a24_time_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a25_sequence_reuse(spark: SparkSession, d: str) -> DataFrame:
-    cells = S.numeric_cells(S.melt(fig7(spark, d), file_id(), F.col("row_id"), ["n", "sem"]))
-    top = cells.withColumn("k", F.row_number().over(S.Window.partitionBy("table_id", "col").orderBy("row_idx"))).where("k <= 5")
-    seq = top.groupBy("table_id", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("values"))
+    """Equal whole sequences of all numeric columns, in row order."""
+    cells = S.numeric_cells(figure_cells(spark, d))
+    seq = cells.groupBy("table_id", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "value"))), lambda x: x["value"]).alias("values"))
     return S.sequence_reuse(seq.select(F.col("table_id").alias("file"), "col", "values"))
 
 
