@@ -153,10 +153,18 @@ select f.package_root, f.path as figure, s.path as source, f.k as figure_key fro
 
 
 def _resolved(d: Spark) -> str:
-    """Assembly rows with both ends looked up: by full path, else by file name."""
-    one = lambda f: d.at(_pieces(d, f), "1")
+    """Links of assembly rows, one for each figure and source a row names, with both ends looked up: by full path, else by file name.
+
+    A field without a reference gives null. The SQL for comparison still takes the first reference of each field.
+    """
     name = d.extract("path", "([^/]*)$", 1)
-    return f"""{_files(d)}, {_links(d)}, ends as (select row_id, package_root, relation_type, modality, {_path(d, one('figure_panel'))} as figure, {_path(d, one('source_record'))} as source from links where package_root is not null),
+    if d.spark:
+        every = lambda f: f"explode(array_distinct({d.transform}({_pieces(d, f)}, {d.fn('x', _path(d, 'x'))})))"
+        ends = f"figure, source from links lateral view outer {every('figure_panel')} f_ as figure lateral view outer {every('source_record')} s_ as source"
+    else:
+        one = lambda f: d.at(_pieces(d, f), "1")
+        ends = f"{_path(d, one('figure_panel'))} as figure, {_path(d, one('source_record'))} as source from links"
+    return f"""{_files(d)}, {_links(d)}, ends as (select row_id, package_root, relation_type, modality, {ends} where package_root is not null),
 names as (select package_root, {name} as name, min(path) as path from files group by package_root, {name}),
 resolved as (select e.row_id, e.package_root, relation_type, modality, coalesce(f1.path, f2.path) as figure, coalesce(s1.path, s2.path) as source, figure as stated_figure, source as stated_source from ends e
  left join files f1 on f1.package_root = e.package_root and f1.path = e.figure left join names f2 on f2.package_root = e.package_root and f2.name = e.figure
@@ -191,7 +199,8 @@ def j07_graph_warnings(d: Spark) -> str:
 def p05_modality_routing(d: Spark) -> str:
     """Panels by their declared kinds: charts and schematics are not scanned, mixed ones are kept as conflicts."""
     m = f"case when trim(lower(coalesce(modality, ''))) in ('chart', 'schematic', 'graph', 'table', 'diagram', 'plot') then 1 else 0 end"
-    return f"""with {_resolved(d)}, p as (select package_root, figure, min({m}) as lo, max({m}) as hi, count(*) as n from resolved where figure is not null group by package_root, figure)
+    rows = "count(distinct row_id)" if d.spark else "count(*)"  # a row with several sources has several links
+    return f"""with {_resolved(d)}, p as (select package_root, figure, min({m}) as lo, max({m}) as hi, {rows} as n from resolved where figure is not null group by package_root, figure)
 select package_root, figure, n, case when lo = 1 then 'exclude' when hi = 1 then 'conflict' else 'scan' end as route from p"""
 
 

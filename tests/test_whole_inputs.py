@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from quillon.plans import screen_queries
+from quillon.plans import package_queries, screen_queries
 
 SUMMARY = "row_id long, package_root string, figure_file string, comparison string, mean string, sd string, sem string, n string, p_value string, ingested_at timestamp"
 FIELDS = "row_id long, package_root string, figure_file string, animal_id string, field_id string, value string, reported_n_basis string, ingested_at timestamp"
@@ -27,3 +27,27 @@ def test_sequences_are_compared_whole_and_in_every_column(spark, write):
     d = write("figure_6_field_measurements", [(100 + 10 * f + k, "p", f"m{f}.csv", "a", "b", f"{k * k}.25", "animals", T) for f in range(2) for k in range(6)], FIELDS)
     found = sorted(tuple(r) for r in screen_queries.a25_sequence_reuse(spark, d).collect())
     assert found == [(6, 2, 2, "p/m0.csv:value"), (7, 2, 2, "p/f0.csv:mean")]
+
+
+FILES = "audit_id string, package_root string, snapshot_no int, created_at timestamp, path string, sha256 string, size_bytes long, role string, received_at timestamp"
+LINKS = "row_id long, package_root string, snapshot_no int, figure_panel string, source_record string, relation_type string, modality string, notes string, created_at timestamp, ingested_at timestamp"
+
+
+def test_every_reference_of_an_assembly_row_is_a_link(spark, write):
+    paths = ("figures/a.png", "figures/b.png", "raw_images/r.tif", "raw_images/s.tif")
+    write("file_hash_manifest", [("x", "p", 1, T, x, "00", 1, None, T) for x in paths], FILES)
+    links = [
+        (1, "figures/a.png", "raw_images/r.tif; s.tif | gone.tif;n/a", "chart"),
+        (2, "figures/a.png|figures/b.png", ".\\raw_images\\r.tif;raw_images/r.tif", "blot"),
+        (3, "figures/b.png", None, "blot"),
+        (4, "none", "raw_images/r.tif;raw_images/s.tif", "blot"),
+    ]
+    d = write("assembly_manifest", [(k, "p", 1, f, s, "cropped_from", m, None, T, T) for k, f, s, m in links], LINKS)
+    run = lambda n: sorted((tuple(r) for r in package_queries.QUERIES[n](spark, d).collect()), key=repr)
+    a, b, r, s = paths
+    assert run("j09_assembly_files") == sorted([(1, a, r), (1, a, s), (1, a, None), (2, a, r), (2, b, r), (3, b, None), (4, None, r), (4, None, s)], key=repr)
+    assert run("j07_graph_edges") == [("p", 3, 2, 2)]
+    assert run("j07_graph_warnings") == [("p", 8, 2, 2)]
+    assert run("prov05_modality_routing") == [("p", a, 2, "conflict"), ("p", b, 2, "scan")]
+    traced, lacking = "expected_traceability", "incomplete"
+    assert run("prov01_link_validation") == sorted([*[(k, traced, 0.98) for k in (1, 1, 2, 2)], (1, "unresolved", 0.0), *[(k, lacking, 0.0) for k in (3, 4, 4)]], key=repr)
