@@ -25,8 +25,8 @@ from quillon.session import materialise
 SHINGLE = 5
 #: Segments of four positions: signatures that differ in up to 43 of 88 positions are certain candidates.
 SEGMENTS, WIDTH = 22, 4
-#: Classes of copies up to this size are written out as pairs of all their members; a larger class is joined to its
-#: first member, which stands for it in pairs with other texts.
+#: Classes (texts with the same shingles) up to this size are written out as pairs of all their members unless the caller says
+#: otherwise; a larger class is joined to its first member, which stands for it in pairs with other texts.
 EXPANDED_CLASS = 64
 
 _U = np.uint64
@@ -133,11 +133,11 @@ def class_links(texts: DataFrame, members: DataFrame, threshold: float, size: in
     return both.select("a", "b", (F.col("k") / (F.col("n") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def similar_pairs(df: DataFrame, key: str, threshold: float = 0.8, size: int = SHINGLE) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, threshold: float = 0.8, size: int = SHINGLE, expanded: int | None = EXPANDED_CLASS) -> DataFrame:
     """(key_a, key_b, similarity): pairs of different keys, smaller first, whose texts are similar.
 
     ``df`` has ``key`` and ``text``; rows that repeat a key count once. Null and short texts (no shingle) are similar to none;
-    null keys are left out; other columns are ignored. Exact copies come as described at EXPANDED_CLASS.
+    null keys are left out; other columns are ignored. Classes come as described at EXPANDED_CLASS, up to ``expanded`` members; None gives every pair.
     """
     texts = df.select(key, "text").where(f"text is not null and {key} is not null")
     members = materialise(classes(texts, key, size), "classes")
@@ -146,10 +146,11 @@ def similar_pairs(df: DataFrame, key: str, threshold: float = 0.8, size: int = S
     counted = once.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     copied = counted.where("n > 1").select("class", "n", "first")
     inside = once.join(copied, "class")
-    star = inside.where(f"n > {EXPANDED_CLASS} and id > first").select(F.col("first").alias("x"), F.col("id").alias("y"))
-    few = inside.where(f"n <= {EXPANDED_CLASS}")
+    small = "true" if expanded is None else f"n <= {expanded}"
+    star = inside.where(f"not ({small}) and id > first").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    few = inside.where(small)
     full = few.select("class", F.col("id").alias("x")).join(few.select("class", F.col("id").alias("y")), "class").where("x < y").select("x", "y")
-    heads = once.join(counted, "class").where(f"n <= {EXPANDED_CLASS} or id = first").select("class", "id")
+    heads = once.join(counted, "class").where(f"{small} or id = first").select("class", "id")
     cross = (
         links.join(heads.toDF("a", "ida"), "a").join(heads.toDF("b", "idb"), "b")
         .select(F.least("ida", "idb").alias("x"), F.greatest("ida", "idb").alias("y"), "similarity")

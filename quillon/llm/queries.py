@@ -9,7 +9,7 @@ from quillon.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "paragraphs"), "paragraph_id", 0.5)
+    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "paragraphs"), "paragraph_id", 0.5, expanded=None)
     return pairs.select("paragraph_id_a", "paragraph_id_b")
 
 

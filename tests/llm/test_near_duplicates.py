@@ -75,3 +75,14 @@ def test_signatures_within_the_radius_share_a_variant():
         b = a.copy()
         b[rng.permutation(88)[:differ]] += 1
         assert set(N._variants(a, 22, 4).ravel().tolist()) & set(N._variants(b, 22, 4).ravel().tolist()), differ
+
+
+def test_query_gives_every_pair_of_a_large_class(spark, tmp_path):
+    """Texts that differ in case and line breaks only, more than a class that is written out elsewhere holds."""
+    from quillon.llm.queries import p1_found
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(f"k{i:03d}", text.replace(" ", "\n", i % 11) if i % 2 else text.upper()) for i in range(N.EXPANDED_CLASS + 6)] + [("z", text + " thirteen")]
+    spark.createDataFrame(rows, "paragraph_id string, text string").coalesce(1).write.parquet(str(tmp_path / "paragraphs.parquet"))
+    got = [tuple(r) for r in p1_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.5)
