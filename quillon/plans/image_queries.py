@@ -14,6 +14,8 @@ SYMMETRIES = {
 }
 #: Bits in which near duplicates differ at most; a hash of 64 bits has THRESHOLD + 1 bands, of which one is equal then.
 THRESHOLD, BANDS = 6, 7
+#: Signs in which tiles of two images differ at most.
+TILE_THRESHOLD = 4
 
 
 def _permuted(d: Spark, name: str, image: str = "px") -> str:
@@ -160,11 +162,26 @@ select id, ax, ay, bx, by_, round(c, 6) as correlation from j where c >= 0.8"""
 
 
 def j03_tiles_across(d: Spark) -> str:
-    """The best matching tile pair of each pair of images that share an equal tile, found by an equality join on the tile's signs."""
-    cells = "transform(z, v -> if(v > 0, '1', '0'))" if d.spark else "list_transform(z, lambda v: case when v > 0 then '1' else '0' end)"
-    return f"""with {_tiles(d)}, signs as (select id, x0, y0, z, {d.join(cells, '')} as s from tiles),
+    """The best matching tile pair of each pair of images with tiles that correlate at 0.985 or more and differ in at most TILE_THRESHOLD signs.
+
+    Scaled to length 1, two such tiles have a squared distance of at most 0.03. Places of unlike signs add the squares of both tiles to it,
+    so in one of the two tiles the squares of these places sum to half of it at most: every tile is looked up under its signs with each such
+    set of weak places turned, which finds every pair. The SQL for comparison still joins equal signs.
+    """
+    if not d.spark:
+        cells = "list_transform(z, lambda v: case when v > 0 then '1' else '0' end)"
+        return f"""with {_tiles(d)}, signs as (select id, x0, y0, z, {d.join(cells, '')} as s from tiles),
 j as (select a.id as left_id, b.id as right_id, {_dot(d, 'a.z', 'b.z')} / sqrt({_dot(d, 'a.z', 'a.z')} * {_dot(d, 'b.z', 'b.z')}) as c from signs a join signs b on a.s = b.s and a.id < b.id where {_dot(d, 'a.z', 'a.z')} > 0 and {_dot(d, 'b.z', 'b.z')} > 0)
 select left_id, right_id, count(*) as n_tiles, round(max(c), 6) as best from j where c >= 0.985 group by left_id, right_id"""
+    half = "zz * 0.015000001"  # with room for rounding
+    turn = f"filter(transform(acc, e -> named_struct('s', e.s ^ shiftleft(1, i), 'w', e.w + z[i] * z[i], 'n', e.n + 1)), e -> e.w <= {half} and e.n <= {TILE_THRESHOLD})"
+    probes = f"aggregate(sequence(0, 15), array(named_struct('s', s, 'w', cast(0 as double), 'n', 0)), (acc, i) -> if(z[i] * z[i] > {half}, acc, concat(acc, {turn})))"
+    return f"""with {_tiles(d)}, lengths as (select id, x0, y0, z, {_dot(d, 'z', 'z')} as zz from tiles),
+signs as (select *, aggregate(sequence(0, 15), 0, (m, i) -> if(z[i] > 0, m | shiftleft(1, i), m)) as s from lengths where zz > 0),
+probes as (select id, x0, y0, z, zz, explode({probes}) as p from signs),
+j as (select a.id as ai, a.x0 as ax, a.y0 as ay, b.id as bi, b.x0 as bx, b.y0 as by_, {_dot(d, 'a.z', 'b.z')} / sqrt(a.zz * b.zz) as c from probes a join signs b on a.p.s = b.s and a.id <> b.id),
+once as (select distinct least(ai, bi) as left_id, greatest(ai, bi) as right_id, if(ai < bi, array(ax, ay, bx, by_), array(bx, by_, ax, ay)) as at, c from j where c >= 0.985)
+select left_id, right_id, count(*) as n_tiles, round(max(c), 6) as best from once group by left_id, right_id"""
 
 
 def t04_tile_sample(d: Spark) -> str:

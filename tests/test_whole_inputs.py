@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
-from quillon.plans import package_queries, screen_queries
+from quillon.plans import image_queries, package_queries, screen_queries
 
 SUMMARY = "row_id long, package_root string, figure_file string, comparison string, mean string, sd string, sem string, n string, p_value string, ingested_at timestamp"
 FIELDS = "row_id long, package_root string, figure_file string, animal_id string, field_id string, value string, reported_n_basis string, ingested_at timestamp"
@@ -51,3 +52,27 @@ def test_every_reference_of_an_assembly_row_is_a_link(spark, write):
     assert run("prov05_modality_routing") == [("p", a, 2, "conflict"), ("p", b, 2, "scan")]
     traced, lacking = "expected_traceability", "incomplete"
     assert run("prov01_link_validation") == sorted([*[(k, traced, 0.98) for k in (1, 1, 2, 2)], (1, "unresolved", 0.0), *[(k, lacking, 0.0) for k in (3, 4, 4)]], key=repr)
+
+
+def test_tiles_with_unlike_signs_meet(spark, write):
+    """Noisy copies of images, against all pairs of tiles."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (5, 64))
+    images = np.concatenate([base + rng.normal(0, noise, base.shape) for noise in (0, 0.08, 0.12)])
+    ids = [10 * k + 1 for k in range(len(images))]  # no image is added turned
+    d = write("embeddings", [(i, v.tolist(), 0) for i, v in zip(ids, images, strict=True)], "vec_id long, embedding array<double>, label int")
+    px = np.floor(images * 1000).reshape(-1, 8, 8)
+    tiles = [[p[y : y + 4, x : x + 4].ravel() for y in (0, 2, 4) for x in (0, 2, 4)] for p in px]
+    want, unlike = {}, 0
+    for i in range(len(ids)):
+        for j in range(i + 1, len(ids)):
+            for a in tiles[i]:
+                for b in tiles[j]:
+                    u, v = a - a.mean(), b - b.mean()
+                    c, h = u @ v / np.sqrt(u @ u * (v @ v)), int(((u > 0) != (v > 0)).sum())
+                    if c >= 0.985 and h <= image_queries.TILE_THRESHOLD:
+                        n, best = want.get((ids[i], ids[j]), (0, 0.0))
+                        want[ids[i], ids[j]], unlike = (n + 1, max(best, c)), unlike + (h > 0)
+    assert unlike > 20
+    got = {(r[0], r[1]): (r[2], r[3]) for r in image_queries.QUERIES["j03_tiles_across"](spark, d).collect()}
+    assert got == {k: (n, pytest.approx(c, abs=2e-6)) for k, (n, c) in want.items()}
