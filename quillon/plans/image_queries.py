@@ -5,7 +5,9 @@ A tenth of the images is added once more, turned or mirrored, so that the thresh
 
 from __future__ import annotations
 
-from quillon.plans.dialect import DUCK, Spark, both
+import functools
+
+from quillon.plans.dialect import DUCK, SPARK, Spark, both
 
 #: The symmetries of the square, as (row, column) of the source of pixel (r, c) in an 8 x 8 image.
 SYMMETRIES = {
@@ -113,23 +115,31 @@ def sc89_displacement(d: Spark) -> str:
     return f"with {d.values('v', 'id, dx, dy', rows)} select id, cast({even}(dx / 32.0{zero}) * 32 as bigint) as bx, cast({even}(dy / 32.0{zero}) * 32 as bigint) as by_ from v"
 
 
+def _turned(d: Spark) -> str:
+    turned = " union all ".join(f"select id, '{n}' as symmetry, {k} as k, {_permuted(d, n)} as px from images" for k, n in enumerate(SYMMETRIES))
+    return f"{_images(d)}, turned as ({turned})"
+
+
 def _near_pairs(d: Spark) -> str:
     """Pairs of images with a hash at most THRESHOLD bits away under a symmetry of the right one.
 
     Each hash is cut into one band more than the bits that may differ, so near hashes agree in a band; equal bands are joined, not all pairs.
+    The perceptual hash comes from the view turned_perceptual; the SQL for comparison goes without it.
     """
-    turned = " union all ".join(f"select id, '{n}' as symmetry, {k} as k, {_permuted(d, n)} as px from images" for k, n in enumerate(SYMMETRIES))
+    methods = ("a", "d", "p") if d.spark else ("a", "d")
+    own, both_ = ", ".join(methods), ", ".join(f"l.{m} as l{m}, r.{m} as r{m}" for m in methods)
+    perceptual = ", p from totals left join turned_perceptual on code = id * 8 + k" if d.spark else " from totals"
     band = lambda m, b: f"(({f'shiftright({m}, {b * 9})' if d.spark else f'({m} >> {b * 9})'}) & {1023 if b == BANDS - 1 else 511})"
-    made = [(m, b, band(m, b)) for m in ("a", "d") for b in range(BANDS)]
+    made = [(m, b, band(m, b)) for m in methods for b in range(BANDS)]
     bands = d.array(*[f"struct('{m}' as method, {b} as band, {v} as v)" if d.spark else f"{{'method': '{m}', 'band': {b}, 'v': {v}}}" for m, b, v in made])
     pick = (lambda i: f"element_at(px, cast({i} as int))") if d.spark else (lambda i: f"px[({i})::int]")
     right = "i + if(i % 8 = 7, -6, 2)" if d.spark else "case when i % 8 = 7 then i - 6 else i + 2 end"
     a, df = _bits(d, f"{pick('i + 1')} * 64 >= total"), _bits(d, f"{pick('i + 1')} > {pick(right)}")
-    return f"""{_images(d)}, turned as ({turned}), totals as (select id, symmetry, k, px, {_sum(d, 'px')} as total from turned),
-hashed as (select id, symmetry, k, {a} as a, {df} as d from totals), banded as (select id, symmetry, k, a, d, {d.unnest(bands)} as b from hashed),
-keys as (select id, symmetry, k, a, d, b.method as method, b.band as band, b.v as v from banded),
-cand as (select distinct l.id as left_id, r.id as right_id, r.symmetry, r.k, l.a as la, r.a as ra, l.d as ld, r.d as rd from keys l join keys r on l.method = r.method and l.band = r.band and l.v = r.v where l.k = 0 and l.id < r.id),
-dist as (select left_id, right_id, symmetry, k, least({d.xor('la', 'ra')}, {d.xor('ld', 'rd')}) as distance from cand),
+    return f"""{_turned(d)}, totals as (select id, symmetry, k, px, {_sum(d, 'px')} as total from turned),
+hashed as (select id, symmetry, k, {a} as a, {df} as d{perceptual}), banded as (select id, symmetry, k, {own}, {d.unnest(bands)} as b from hashed),
+keys as (select id, symmetry, k, {own}, b.method as method, b.band as band, b.v as v from banded),
+cand as (select distinct l.id as left_id, r.id as right_id, r.symmetry, r.k, {both_} from keys l join keys r on l.method = r.method and l.band = r.band and l.v = r.v where l.k = 0 and l.id < r.id),
+dist as (select left_id, right_id, symmetry, k, least({', '.join(d.xor(f'l{m}', f'r{m}') for m in methods)}) as distance from cand),
 best as (select left_id, right_id, symmetry, cast(distance as bigint) as distance, row_number() over (partition by left_id, right_id order by distance, k) as rn from dist where distance <= {THRESHOLD}),
 edges as (select left_id, right_id, symmetry, distance from best where rn = 1)"""
 
@@ -208,6 +218,25 @@ QUERIES, SQL = both([
 ])
 
 
+def _with_perceptual(query):
+    """A query over near pairs, with the perceptual hashes of all turned images at hand; matrix algebra, so no SQL."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        from quillon.operators.images import perceptual_hashes
+        from quillon.session import table
+
+        table(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings")
+        turned = spark.sql(f"with {_turned(SPARK)} select id * 8 + k as id, px from turned")
+        perceptual_hashes(turned).toDF("code", "p").createOrReplaceTempView("turned_perceptual")
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES |= {n: _with_perceptual(QUERIES[n]) for n in ("j02_near_images", "j05_undeclared_images", "t05_representative_edge")}
+
+
 def g01_image_clusters(spark, sf_dir):
     """Clusters of near images: (image, cluster), the cluster named by its least image."""
     from quillon.operators.graph import components

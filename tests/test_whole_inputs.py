@@ -76,3 +76,21 @@ def test_tiles_with_unlike_signs_meet(spark, write):
     assert unlike > 20
     got = {(r[0], r[1]): (r[2], r[3]) for r in image_queries.QUERIES["j03_tiles_across"](spark, d).collect()}
     assert got == {k: (n, pytest.approx(c, abs=2e-6)) for k, (n, c) in want.items()}
+
+
+def test_images_near_by_the_perceptual_hash_only(spark, write):
+    """A strong ramp turns most bits of the other hashes, but few frequencies."""
+    from quillon.operators.images import perceptual_bits
+
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 1, (8, 8))
+    images = [base, base + np.linspace(-9, 9, 8)[None], rng.normal(0, 1, (8, 8))]
+    d = write("embeddings", [(k + 1, x.ravel().tolist(), 0) for k, x in enumerate(images)], "vec_id long, embedding array<double>, label int")
+    px = np.floor(np.array(images) * 1000)
+    p = perceptual_bits(px.repeat(4, 1).repeat(4, 2))
+    average = [x >= x.mean() for x in px]
+    assert (average[0] != average[1]).sum() > 6 and ((np.diff(px[0]) < 0) != (np.diff(px[1]) < 0)).sum() > 6
+    distance = int(p[0] ^ p[1]).bit_count()
+    assert distance <= image_queries.THRESHOLD
+    assert [tuple(r) for r in image_queries.QUERIES["j02_near_images"](spark, d).collect()] == [(1, 2, "identity", distance)]
+    assert {tuple(r) for r in image_queries.QUERIES["g01_image_clusters"](spark, d).collect()} == {(1, 1), (2, 1)}
