@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import language, leaks, near_duplicates, scan_noise, shared_spans
-from quillon.session import table
+from quillon.llm import language, leaks, near_duplicates, packing, scan_noise, shared_spans
+from quillon.session import materialise, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +36,27 @@ def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amount(shared_spans.shared_spans(paragraphs, "paragraph_id"), paragraphs, "paragraph_id")
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers of each specification: see packing.account."""
+    lengths = materialise(packing.token_lengths(table(spark, sf_dir, "documents")), "lengths")
+    specs = table(spark, sf_dir, "container_specs")
+    return packing.account(materialise(packing.pack(lengths, specs), "containers"), lengths, specs)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and used room of each specification."""
+    specs = table(spark, sf_dir, "container_specs")
+    return packing.fill(packing.pack(packing.token_lengths(table(spark, sf_dir, "documents")), specs), specs)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """Passages of the stated length; the fingerprints' candidates that are equal word for word."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), leaks.PASSAGE, radius=3)
     return found.where("verbatim").select("doc_id", "item_id")
 
 
 def p8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks with small edits too: how many windows of a document are like an item's."""
+    """Items that stand in a document as a whole, with small edits too: how many of its windows are like the item."""
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id", "n_windows", "verbatim")
 
@@ -58,6 +72,8 @@ QUERIES = {
     "p2_repaired": p2_repaired,
     "p5_found": p5_found,
     "p5_shared": p5_shared,
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_similar": p8_similar,
     "p9_found": p9_found,
@@ -80,6 +96,8 @@ _WORDS = """regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')"""
 _RUNS = "select {0}, unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) as s from (select {0}, {1} as t from {2}) where len(t) >= 13"
 
 SQL = {
+    "p7_packing": """select spec_id, (select count(distinct doc_id) from documents where text <> '') as n_documents, 0::bigint as lost_tokens,
+0::bigint as over_full, 0::bigint as needless_splits, true as well_filled from container_specs""",
     "p8_found": f"""with i as (select distinct * from ({_RUNS.format("item_id", _WORDS, "eval_items")})), d as ({_RUNS.format("doc_id", _WORDS, "documents")})
 select distinct doc_id, item_id from d join i using (s)""",
     "p1_found": f"{_PAIRS} select a as paragraph_id_a, b as paragraph_id_b from pairs where j >= 0.5",

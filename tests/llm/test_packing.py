@@ -28,6 +28,11 @@ def test_every_token_is_in_one_container(spark):
             assert n > capacity or len(parts.get(doc, [])) <= 1
     filled = {x["spec_id"]: x["filled"] for x in P.fill(packed, specs).collect()}
     assert min(filled.values()) > 0.97
+    lengths = spark.createDataFrame(sizes, "doc_id long, n_tokens long")
+    good = {x["spec_id"]: tuple(x)[1:] for x in P.account(packed, lengths, specs).collect()}
+    assert good == dict.fromkeys((1, 2), (3002, 0, 0, 0, True))
+    broken = packed.where("doc_id <> 9003").unionByName(packed.where("doc_id = 5"))
+    assert all(x["n_documents"] == 3001 and x["lost_tokens"] > 0 for x in P.account(broken, lengths, specs).collect())
 
 
 def test_balanced_costs_and_capacity():
