@@ -27,8 +27,10 @@ NAMES = {
 }
 LANGUAGES = tuple(NAMES)
 
-#: Training texts per language at most, and the seed that picks them.
-SAMPLE_PER_LANGUAGE, SEED = 250, 17
+#: Bounds of the training sample: texts per language, characters of a text; and the seed that picks them.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, SEED = 250, 20_000, 17
+#: Words and characters of a quoted title at most.
+TITLE_WORDS, TITLE_CHARS = 12, 120
 #: Window length in bytes; a sentence is covered by windows of which the last ends with it.
 LENGTH = 96
 DIM, FILTERS, WIDTHS = 8, 16, (2, 4, 6)
@@ -40,12 +42,14 @@ SURE, LIKELY = 0.95, 0.1
 FEW_LETTERS, FEW_IDEOGRAPHS = 18, 6
 
 _BLOCK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+")
-_QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|《[^》]*》|\"[^\"]*\"")
+#: Marks in pairs; a straight mark opens before a character and closes after one, so inches are none.
+_QUOTED = re.compile(r"“([^”]*)”|„([^“”]*)[“”]|«([^»]*)»|《([^》]*)》|(?<![^\s(\[{—–/])\"(?=\S)([^\"]*)(?<=\S)\"(?!\w)")
+_MARK = re.compile("[“„«《\"]")
+_WHOLE = re.compile(r"[.!?。！？]\s*$|[.!?]\s+\S|[。！？]")
 _STOP = re.compile(r"(?<=[.!?])[\s]+|(?<=[。！？])")
 #: Ideographs stand next to codes and numbers without a blank and are no part of them.
 _IDEOGRAPHS = "〇㐀-鿿豈-﫿\U00020000-\U0003ffff"
 _CODE = re.compile(rf"(?<![^\W{_IDEOGRAPHS}])[^\W\d_{_IDEOGRAPHS}]*+\d(?:[^\W{_IDEOGRAPHS}]+|[,.\-]+)*+|[^\w\s'’]+|_+")
-_GAP = re.compile(r"\s+")
 
 
 def label_language(c: Column) -> Column:
@@ -57,10 +61,24 @@ def label_language(c: Column) -> Column:
     return out
 
 
+def without_titles(block: str) -> str:
+    """The block without quoted titles; longer quotations and whole sentences in quotation marks are text like any other, and
+    so is a title where a block holds nothing else."""
+
+    def cut(m: re.Match) -> str:
+        inside = next((g for g in m.groups() if g is not None), "")
+        return f" {inside} " if len(inside) > TITLE_CHARS or len(inside.split()) > TITLE_WORDS or _WHOLE.search(inside) else " "
+
+    if not _MARK.search(block):
+        return block
+    bare, n = _QUOTED.subn(cut, block)
+    return block if n and not any(c.isalpha() for c in bare) else bare
+
+
 def sentences(block: str) -> list[str]:
-    """The pieces of a block between full stops, quoted text, codes and signs removed, lower case."""
-    pieces = "\n".join(_GAP.sub(" ", s) for s in _STOP.split(_QUOTED.sub(" ", block).lower()))
-    return [s.strip() for s in _CODE.sub("", pieces).split("\n")]
+    """The pieces of a block between full stops, quoted titles, codes and signs removed, lower case."""
+    plain = lambda w: w if w.isalpha() else _CODE.sub("", w)
+    return [" ".join(map(plain, s.split())).strip() for s in _STOP.split(without_titles(block).lower())]
 
 
 def letters_in(s: str) -> int:
@@ -148,14 +166,14 @@ class ByteNetwork:
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         out = []
         for lo in range(0, len(x), 512):
-            xb = x[lo : lo + 512].astype(np.int32)
+            xb = x[lo : lo + 512].astype(np.intp)
             pair = (xb[:, :-1] << 8) | xb[:, 1:]
             pooled = []
             for w, tables in self._tables().items():
                 n = LENGTH - w + 1
-                a = tables[0][pair[:, :n]]
+                a = tables[0].take(pair[:, :n], axis=0)
                 for k, t in enumerate(tables[1:], 1):
-                    a += t[pair[:, 2 * k : 2 * k + n]]
+                    a += t.take(pair[:, 2 * k : 2 * k + n], axis=0)
                 pooled.append(a.max(1) + self.p[f"b{w}"])
             logit = np.maximum(np.concatenate(pooled, 1), 0) @ self.p["o"] + self.p["ob"]
             logit -= logit.max(1, keepdims=True)
@@ -174,18 +192,19 @@ class ByteNetwork:
         return prob / prob.sum(1, keepdims=True)
 
 
-def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(language, text) of at most about ``per_language`` documents whose label names each language, picked by a hash of their text.
+def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(language, text) of about ``per_language`` documents at most whose label names each language, picked by a hash of their text; no more than twice as many in all.
 
-    The sample alone is bounded, in texts and in characters of a text; the network is applied to whole texts.
+    The sample alone is bounded, in texts and in ``chars`` of a text; the network is applied to whole texts.
     """
     named = documents.select(label_language(F.col("lang")).alias("l"), "text").where("l is not null and text is not null")
     counts = dict(named.groupBy("l").agg(F.count("*").alias("n")).collect())  # nine at most
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("l") == lang, min(1.0, per_language / n)).otherwise(share)
-    picked = named.where(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < share * 1_000_000)
-    return [(r[0], r[1]) for r in picked.select("l", F.left("text", F.lit(20_000)).alias("text")).limit(2 * per_language * len(LANGUAGES)).collect()]
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000))
+    picked = named.withColumn("draw", draw).where(F.col("draw") < share * 1_000_000).select("l", F.left("text", F.lit(chars)).alias("text"), "draw")
+    return [(r[0], r[1]) for r in picked.orderBy("draw", "l", "text").limit(2 * per_language * len(LANGUAGES)).collect()]
 
 
 def train(sample: list[tuple[str, str]], per_text: int = 12) -> ByteNetwork:
@@ -286,7 +305,10 @@ def identify(documents: DataFrame, net: ByteNetwork) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, label string, seg_no bigint, lang string, confidence double")
 
 
-def wrong_labels(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """(doc_id, seg_no, lang, confidence) of documents whose label doesn't name their language, and of all that mix languages."""
-    found = identify(documents, train(training_sample(documents, per_language)))
+def wrong_labels(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, net: ByteNetwork | None = None) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence) of documents whose label doesn't name their language, and of all that mix languages.
+
+    ``net`` is a fitted network; without one, one is trained on a sample of these documents.
+    """
+    found = identify(documents, net or train(training_sample(documents, per_language)))
     return found.where("seg_no > 0 or label is null or label <> lang").drop("label").distinct()

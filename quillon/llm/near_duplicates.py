@@ -6,8 +6,8 @@ Each segment is indexed under its one-wildcard variants (one position deleted),
 candidates, and the exact similarity of the shingle sets verifies them. Texts with the same shingle set are one class
 before the join, so copies cost no pairs.
 
-The signature's positions are min-hash values rather than bits: at the similarities wanted here bit signatures differ in
-too many bits for selective segments.
+The signature's positions are min-hash values rather than bits, so a variant is a band of three min-hash values: at the similarities
+wanted here bit signatures differ in too many bits for selective segments. Rows of a variant that very many texts have are joined in blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.tokens import chunks, groups, mix, shingle_sets
@@ -25,9 +25,8 @@ from quillon.session import materialise
 SHINGLE = 5
 #: Segments of four positions: signatures that differ in up to 43 of 88 positions are certain candidates.
 SEGMENTS, WIDTH = 22, 4
-#: Classes (texts with the same shingles) up to this size are written out as pairs of all their members unless the caller says
-#: otherwise; a larger class is joined to its first member, which stands for it in pairs with other texts.
-EXPANDED_CLASS = 64
+#: Rows of one key that meet all others of it in one task.
+BLOCK = 2000
 
 _U = np.uint64
 
@@ -112,14 +111,26 @@ def class_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     return texts.select("text").mapInArrow(run, "class bigint, shingles array<bigint>")
 
 
+def pairs_of(rows: DataFrame, key: str, value: str, block: int = BLOCK) -> DataFrame:
+    """(x, y): all pairs x < y of the distinct values of each key.
+
+    The values of a frequent key are parted into blocks by a hash; each block meets all values of its key, in a group of its own, so no key is one task.
+    """
+    counted = rows.select(F.col(key).alias("key"), F.col(value).alias("value")).distinct()
+    counts = counted.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").select("key", "blocks")
+    parted = counted.join(counts, "key")
+    left = parted.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("value").alias("x"))
+    right = parted.select("key", F.pmod(F.xxhash64("value"), F.col("blocks")).cast("int").alias("block"), F.col("value").alias("y"))
+    return left.join(right, ["key", "block"]).where("x < y").select("x", "y")
+
+
 def class_links(texts: DataFrame, members: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
     """(a, b, similarity): pairs of classes, a < b, whose shingle sets have a Jaccard similarity of at least ``threshold``.
 
-    ``members`` are the classes() of ``texts``, materialised.
+    ``members`` are the classes() of ``texts``, materialised. Variants that one class alone has are dropped before the join.
     """
-    keys = variant_keys(texts, size)
-    left, right = keys.withColumnRenamed("class", "a"), keys.withColumnRenamed("class", "b")
-    pairs = left.join(right, "variant").where("a < b").select("a", "b").distinct()
+    met = variant_keys(texts, size).withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1").select("variant", "class")
+    pairs = pairs_of(materialise(met, "variants"), "variant", "class").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     sizes = members.groupBy("class").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
     pairs = materialise(pairs, "candidates")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -133,29 +144,21 @@ def class_links(texts: DataFrame, members: DataFrame, threshold: float, size: in
     return both.select("a", "b", (F.col("k") / (F.col("n") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def similar_pairs(df: DataFrame, key: str, threshold: float = 0.8, size: int = SHINGLE, expanded: int | None = EXPANDED_CLASS) -> DataFrame:
-    """(key_a, key_b, similarity): pairs of different keys, smaller first, whose texts are similar.
+def similar_pairs(df: DataFrame, key: str, threshold: float = 0.8, size: int = SHINGLE) -> DataFrame:
+    """(key_a, key_b, similarity): every pair of different keys, smaller first, whose texts are similar.
 
     ``df`` has ``key`` and ``text``; rows that repeat a key count once. Null and short texts (no shingle) are similar to none;
-    null keys are left out; other columns are ignored. Classes come as described at EXPANDED_CLASS, up to ``expanded`` members; None gives every pair.
+    null keys are left out; other columns are ignored. Where copies need no pairs, similar_groups() gives a row per key.
     """
     texts = df.select(key, "text").where(f"text is not null and {key} is not null")
     members = materialise(classes(texts, key, size), "classes")
     links = class_links(texts, members, threshold, size)
     once = members.select("id", "class").distinct()
-    counted = once.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    copied = counted.where("n > 1").select("class", "n", "first")
-    inside = once.join(copied, "class")
-    small = "true" if expanded is None else f"n <= {expanded}"
-    star = inside.where(f"not ({small}) and id > first").select(F.col("first").alias("x"), F.col("id").alias("y"))
-    few = inside.where(small)
-    full = few.select("class", F.col("id").alias("x")).join(few.select("class", F.col("id").alias("y")), "class").where("x < y").select("x", "y")
-    heads = once.join(counted, "class").where(f"{small} or id = first").select("class", "id")
+    same = pairs_of(once, "class", "id").withColumn("similarity", F.lit(1.0))
     cross = (
-        links.join(heads.toDF("a", "ida"), "a").join(heads.toDF("b", "idb"), "b")
+        links.join(once.select(F.col("class").alias("a"), F.col("id").alias("ida")), "a").join(once.select(F.col("class").alias("b"), F.col("id").alias("idb")), "b")
         .select(F.least("ida", "idb").alias("x"), F.greatest("ida", "idb").alias("y"), "similarity")
     )
-    same = full.unionByName(star).withColumn("similarity", F.lit(1.0))
     return cross.unionByName(same).where("x <> y").select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"), "similarity")
 
 

@@ -169,14 +169,13 @@ def account(packed: DataFrame, lengths: DataFrame, specs: DataFrame) -> DataFram
     empty, or that no fewer containers could hold the tokens.
     """
     caps = specs.select("spec_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).where("spec_id is not null and capacity > 0").distinct()
-    boxes = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t")).join(caps, "spec_id")
-    per_box = boxes.groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("capacity")).alias("over_full"), F.count("*").alias("n_boxes"), F.sum("t").alias("t"), F.max("capacity").alias("capacity"))
+    boxes = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("longest")).join(caps, "spec_id")
+    per_box = boxes.groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("capacity")).alias("over_full"), F.count("*").alias("n_boxes"), F.sum("t").alias("t"), F.max("capacity").alias("capacity"), F.count_if(2 * F.col("longest") > F.col("capacity")).alias("halves"))
     of_doc = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.max(F.col("start_token") + F.col("n_tokens")).alias("last"))
     joined = of_doc.join(lengths, "doc_id", "left").join(caps, "spec_id")
     off = F.greatest(F.abs(F.coalesce("n_tokens", F.lit(0)) - F.coalesce("t", F.lit(0))), F.abs(F.coalesce("t", F.lit(0)) - F.coalesce("last", F.lit(0))))
     per_doc = joined.groupBy("spec_id").agg(
         F.count("doc_id").alias("n_documents"), F.sum(off).cast("bigint").alias("lost_tokens"), F.count_if((F.col("k") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("needless_splits")
     )
-    room = F.col("n_boxes") * F.col("capacity")
-    full = (F.col("t") >= 0.97 * room) | (F.col("n_boxes") == F.ceil(F.col("t") / F.col("capacity")))
+    full = F.col("n_boxes") <= 1 + 1.05 * F.greatest(F.col("halves"), F.ceil(F.col("t") / F.col("capacity")))
     return per_doc.join(per_box, "spec_id").select("spec_id", "n_documents", "lost_tokens", "over_full", "needless_splits", full.alias("well_filled"))

@@ -9,7 +9,7 @@ from quillon.session import materialise, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "paragraphs"), "paragraph_id", 0.5, expanded=None)
+    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "paragraphs"), "paragraph_id", 0.5)
     return pairs.select("paragraph_id_a", "paragraph_id_b")
 
 
@@ -36,6 +36,11 @@ def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amount(shared_spans.shared_spans(paragraphs, "paragraph_id"), paragraphs, "paragraph_id")
 
 
+def p5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal stretches that stand in the same paragraphs, and in how many."""
+    return shared_spans.repeats(table(spark, sf_dir, "paragraphs"), "paragraph_id").drop("other")
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of the containers of each specification: see packing.account."""
     lengths = materialise(packing.token_lengths(table(spark, sf_dir, "documents")), "lengths")
@@ -72,6 +77,7 @@ QUERIES = {
     "p2_repaired": p2_repaired,
     "p5_found": p5_found,
     "p5_shared": p5_shared,
+    "p5_repeats": p5_repeats,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
@@ -107,6 +113,11 @@ links as (select id, count(distinct c) filter (c <> mine) as n_links, count(*) a
   join sets on sets.id = other join sets own on own.id = l.id) group by 1)
 select id as paragraph_id, n_links from links""",
     "p5_found": f"{_SPANS} select paragraph_id, span_start, span_tokens from spans",
+    "p5_repeats": f"""with {_TOKENS},
+w as (select paragraph_id, i - 1 as pos, array_to_string(t[i:i+19], ' ') as s from (select paragraph_id, t, unnest(range(1, len(t) - 18)) as i from toks where len(t) >= 20)),
+held as (select s, list(distinct paragraph_id order by paragraph_id) as held_by from w group by s having count(distinct paragraph_id) > 1),
+hit as (select paragraph_id, pos, held_by, pos - row_number() over (partition by paragraph_id, held_by order by pos) as run from w join held using (s))
+select paragraph_id, min(pos) as span_start, max(pos) + 20 - min(pos) as span_tokens, len(held_by) as n_records from hit group by paragraph_id, held_by, run""",
     "p5_shared": f"""{_SPANS} select paragraph_id, coalesce(n_spans, 0) as n_spans, coalesce(shared_tokens, 0)::bigint as shared_tokens, len(t) as n_tokens,
 round(coalesce(shared_tokens, 0) / len(t), 6) as shared_ratio
 from toks left join (select paragraph_id, count(*) as n_spans, sum(span_tokens) as shared_tokens from spans group by 1) using (paragraph_id) where len(t) > 0""",

@@ -74,21 +74,30 @@ def span_windows(records: DataFrame, hits: DataFrame, span: int, block: int) ->
     return records.join(hits, "rec").select("rec", "text", "places").mapInArrow(run, "rec bigint, content bigint, pos int")
 
 
-def shared_spans(df: DataFrame, key: str, span: int = SPAN) -> DataFrame:
-    """(key, span_start, span_tokens): the longest runs of token positions that lie in ``span`` consecutive tokens that also stand in a record with another key.
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    keyed = df.select(key, "text").where(f"text is not null and {key} is not null")
+    return keyed.select(F.xxhash64(key).alias("rec"), key, "text")
 
-    Rows that repeat a key are one record; null keys and texts, and texts shorter than ``span``, share nothing. Other columns are ignored.
-    """
+
+def grown_hits(records: DataFrame, span: int) -> DataFrame:
+    """(rec, content, pos) of the span windows around the index's hits, written once."""
     block = span // 2  # a span of 2b tokens holds a whole block at any alignment
-    keyed = df.select(key, "text").where(f"text is not null and {key} is not null")
-    records = keyed.select(F.xxhash64(key).alias("rec"), key, "text")
     index = rolling(records, block, block).groupBy("content").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
     probes = rolling(records, block)
     hits = materialise(probes.join(index, "content").where("lo <> hi or lo <> rec").select("rec", "content", "pos"), "hits")
     live = hits.select("content").distinct()
     blocks = rolling(records, block, block).join(live, "content", "left_semi").select("rec", "pos")
     places = hits.select("rec", "pos").union(blocks).groupBy("rec").agg(F.collect_set("pos").alias("places"))  # bounded by a record's length
-    grown = materialise(span_windows(records, places, span, block), "windows")
+    return materialise(span_windows(records, places, span, block), "windows")
+
+
+def shared_spans(df: DataFrame, key: str, span: int = SPAN) -> DataFrame:
+    """(key, span_start, span_tokens): the longest runs of token positions that lie in ``span`` consecutive tokens that also stand in a record with another key.
+
+    Rows that repeat a key are one record; null keys and texts, and texts shorter than ``span``, share nothing. Other columns are ignored.
+    """
+    records = _keyed(df, key)
+    grown = grown_hits(records, span)
     common = grown.groupBy("content").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("content")
     starts = grown.join(common, "content", "left_semi").select("rec", "pos").distinct()
     w = Window.partitionBy("rec").orderBy("pos")
@@ -98,6 +107,25 @@ def shared_spans(df: DataFrame, key: str, span: int = SPAN) -> DataFrame:
     return spans.join(names, "rec").select(key, F.col("s").cast("bigint").alias("span_start"), F.col("n").cast("bigint").alias("span_tokens"))
 
 
+def repeats(df: DataFrame, key: str, span: int = SPAN) -> DataFrame:
+    """(key, span_start, span_tokens, n_records, other): the maximal exact repeats, one row for each record and stretch of at least ``span``
+    tokens whose windows all stand in the same ``n_records`` records; ``other`` is one of them besides the record itself.
+
+    Adjoining stretches with other partners are rows of their own, and may overlap by less than ``span`` tokens. Cases as in shared_spans().
+    """
+    records = _keyed(df, key)
+    grown = grown_hits(records, span)
+    held = grown.select("content", "rec").distinct().groupBy("content")
+    held = held.agg(F.count("*").alias("n_records"), F.bit_xor("rec").alias("who"), F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("n_records > 1")
+    hit = grown.join(held, "content").select("rec", "pos", "n_records", "who", "lo", "hi").distinct()
+    same = Window.partitionBy("rec", "n_records", "who", "lo", "hi").orderBy("pos")
+    runs = hit.withColumn("run", F.col("pos") - F.row_number().over(same)).groupBy("rec", "n_records", "who", "lo", "hi", "run")
+    runs = runs.agg(F.min("pos").alias("s"), (F.max("pos") + span - F.min("pos")).alias("n")).withColumn("other", F.when(F.col("rec") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
+    names = records.select("rec", key).join(runs.select("rec").distinct(), "rec", "left_semi").distinct()
+    named = runs.join(names, "rec").join(names.toDF("other", "other_name"), "other")
+    return named.select(key, F.col("s").cast("bigint").alias("span_start"), F.col("n").cast("bigint").alias("span_tokens"), "n_records", F.col("other_name").alias("other"))
+
+
 def shared_amount(spans: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """(key, n_spans, shared_tokens, n_tokens, shared_ratio) of each record with tokens."""
 

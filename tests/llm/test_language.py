@@ -65,3 +65,14 @@ def test_ideographs_next_to_numbers_and_codes(trained):
     net, _ = trained
     en = "The outer margin with low values showed a persistent cohort of cells following dose escalation, because the offset drifted."
     assert [(k, lang) for k, lang, _ in L.segment_languages(net, [en + "\n\n" + zh])[0]] == [(1, "en"), (2, "zh")]
+
+
+def test_quoted_titles_go_and_quoted_texts_stay():
+    title = 'Die Proben wurden gezählt, siehe “The growth of cells” und danach gewogen.'
+    assert "growth" not in " ".join(L.sentences(title)) and "danach gewogen" in " ".join(L.sentences(title))
+    assert L.sentences('„Das Protokoll der Färbung wurde im Labor geändert und erneut gelesen.“')[0].startswith("das protokoll")
+    assert any("nobody had read" in s for s in L.sentences('He said “This is long. And nobody had read it before the meeting.” Then he left.'))
+    assert any("protokoll der färbung" in s for s in L.sentences("“Das Protokoll der Färbung”"))
+    inches = L.sentences('The board is 5" long and was cut. It is quite heavy to carry around. The other is 6" wide.')
+    assert any("quite heavy" in s for s in inches)
+    assert L.sentences('See "Der Titel" for details of it')[0] == "see for details of it"
