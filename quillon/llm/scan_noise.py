@@ -1,15 +1,15 @@
 """Noise in text from scanned pages.
 
-Page furniture (running headers, page numbers) is found by its form and by lines that interrupt the wrapping;
-words broken at line ends are joined; words with misread characters are found against a frequency lexicon of the whole
+Page furniture (running headers, page numbers) is found by lines that interrupt the wrapping and recur in other paragraphs, and by its
+form; words broken at line ends are joined; words with misread characters are found against a frequency lexicon of the whole
 corpus: a symmetric-delete index gives candidates, an edit distance in which only confusable characters are cheap
-weighs them, and counts of word pairs choose among them.
+weighs them, and counts of word pairs choose among them. Texts are read once; what they hold is written as words and
+marks, and lexicon, word pairs and findings are aggregates over that.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
@@ -28,12 +28,16 @@ CONFUSIONS = {
     "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 }
 CONFUSED, MOST = 0.4, 1.3
+#: What any other edit costs: more than MOST, so a word that needs one isn't taken for a misreading.
+EDIT = 1.5
 #: Readings of several characters, as pairs; those of single characters as pairs too.
 READINGS = sorted({(w, r) for w, rs in CONFUSIONS.items() for r in ([rs] if len(w) > 1 or w in "ﬀﬁﬂﬃﬄ" else list(rs))} | {("m", "rn"), ("w", "vv"), ("d", "cl"), ("h", "li"), ("u", "ii"), ("m", "in")})
 #: A lexicon word has so many occurrences, and a misread form of it at most one in RATIO as many.
 LEXICON_COUNT, RATIO = 8, 12
-#: Words that are known everywhere: the most frequent ones, a fixed bound on what is broadcast.
+#: The most frequent words, which are passed over at once: a fixed bound on what is broadcast; the others are joined.
 KNOWN_WORDS = 30_000
+#: Paragraphs in which a line that interrupts the wrapping recurs, digits aside, if it is a running header.
+RECURS = 3
 
 #: Signs that are read for letters inside words; the daggers at a word's end too.
 _SIGNS = "†‡|$@€!"
@@ -68,7 +72,27 @@ def _header_line(line: str) -> bool:
     return bool(_HEAD_IN.fullmatch(line))
 
 
-def _furniture_lines(text: str) -> tuple[str, bool, bool]:
+def line_key(line: str) -> str:
+    """A line as it recurs on other pages: without numbers, case and spacing."""
+    return " ".join(re.sub(r"\d+", "#", line.casefold()).split())
+
+
+def short_lines(text: str) -> list[str]:
+    """Keys of the lines that interrupt a wrapped text: two to ten words on a line that had room for more, without a stop at its end."""
+    lines = text.splitlines()
+    if len(lines) < 3:
+        return []
+    widths = sorted(len(x) for x in lines[:-1])
+    room = 0.8 * widths[len(widths) // 2]
+    out = set()
+    for line, after in zip(lines, lines[1:], strict=False):
+        n = len(line.split())
+        if 2 <= n <= 10 and len(line) + 1 + len(after.split(" ", 1)[0]) < room and line.rstrip()[-1:] not in ".!?;:,-¬\u00ad":
+            out.add(line_key(line))
+    return sorted(out)
+
+
+def _furniture_lines(text: str, recurring: frozenset[str]) -> tuple[str, bool, bool]:
     """The text without lines that are page furniture; whether headers and page numbers were among them."""
     lines = text.splitlines()
     if len(lines) < 2:
@@ -84,6 +108,10 @@ def _furniture_lines(text: str) -> tuple[str, bool, bool]:
             page |= any(a and not b for a, b in zip(pages, heads, strict=True))
             header |= any(heads)
             continue
+        if recurring and line_key(line) in recurring:
+            header = True
+            page |= any(pages)
+            continue
         after = lines[i + 1].split(" ", 1)[0] if i + 1 < len(lines) else ""
         words = parts[0].split() if parts else []
         if (
@@ -98,9 +126,9 @@ def _furniture_lines(text: str) -> tuple[str, bool, bool]:
     return "\n".join(kept), header, page
 
 
-def clean(text: str) -> tuple[str, bool, bool]:
-    """The text without page furniture; whether a running header and a page number stood in it."""
-    text, header, page = _furniture_lines(text)
+def clean(text: str, recurring: frozenset[str] = frozenset()) -> tuple[str, bool, bool]:
+    """The text without page furniture; whether a running header and a page number stood in it. ``recurring`` are keys of lines that are headers."""
+    text, header, page = _furniture_lines(text, recurring)
 
     def cut(m: re.Match) -> str:
         nonlocal header
@@ -140,22 +168,30 @@ def plausible(word: str) -> bool:
     return len(word) >= 2 and digits <= 2 and digits < len(word) - 1 and (upper == 0 or (upper == 1 and word[0].isupper()) or (upper + digits == len(word) and upper >= 3))
 
 
-def reading_cost(seen: str, word: str) -> float | None:
-    """The cost of reading ``word`` as ``seen`` by confusions alone; None beyond MOST or if another edit is needed."""
+def reading_cost(seen: str, word: str, most: float = MOST) -> float | None:
+    """The weighted edit distance of reading ``word`` as ``seen``: CONFUSED for a confusion, EDIT for any other edit; None beyond ``most``, or for equal words."""
     best = {(0, 0): 0.0}
+
+    def reach(i: int, j: int, c: float) -> None:
+        if c <= most and c < best.get((i, j), most + 1):
+            best[i, j] = c
+
     for i in range(len(seen) + 1):
         for j in range(len(word) + 1):
             c = best.get((i, j))
-            if c is None or c > MOST:
+            if c is None:
                 continue
             if i < len(seen) and j < len(word) and seen[i] == word[j]:
-                best[i + 1, j + 1] = min(c, best.get((i + 1, j + 1), 9.0))
+                reach(i + 1, j + 1, c)
             for a, b in READINGS:
                 if seen.startswith(a, i) and word.startswith(b, j):
-                    k = (i + len(a), j + len(b))
-                    best[k] = min(c + CONFUSED, best.get(k, 9.0))
+                    reach(i + len(a), j + len(b), c + CONFUSED)
+            if c + EDIT <= most:
+                for di, dj in ((1, 1), (1, 0), (0, 1)):
+                    if i + di <= len(seen) and j + dj <= len(word):
+                        reach(i + di, j + dj, c + EDIT)
     c = best.get((len(seen), len(word)))
-    return c if c is not None and 0 < c <= MOST else None
+    return c if c else None
 
 
 def deletes(word: str, most: int = 2) -> set[str]:
@@ -174,21 +210,52 @@ def _joined(text: str) -> tuple[str, list[tuple[str, str, str]]]:
     return text, [f[2:] for f in found]
 
 
-def word_counts(paragraphs: DataFrame) -> DataFrame:
-    """(word, n) over all paragraphs, furniture removed and broken words joined; and (left-right, n) of hyphened words."""
+def recurring_lines(paragraphs: DataFrame) -> DataFrame:
+    """(paragraph_id, recurring array): for each paragraph its lines that interrupt the wrapping there and in RECURS paragraphs or more of its package."""
 
     def run(batches):
         for batch in batches:
-            count: Counter = Counter()
-            for t in batch.column("text").to_pylist():
-                text, _, _ = clean(t)
-                low, _ = _joined(text)
-                low = low.lower()
-                count.update(words(low))
-                count.update(re.findall(r"[^\W\d_]{2,}-[^\W\d_]{2,}", text.lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            rows = [(i, k) for i, t in enumerate(batch.column("text").to_pylist()) for k in short_lines(t)]
+            if rows:
+                at, keys = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("paragraph_id", "package_root")] + [pa.array(keys)], ["paragraph_id", "package_root", "line"])
 
-    return paragraphs.select("text").where("text is not null").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    kept = paragraphs.where("paragraph_id is not null and text is not null").select("paragraph_id", "package_root", "text")
+    lines = kept.mapInArrow(run, "paragraph_id string, package_root string, line string").distinct()
+    often = lines.groupBy("package_root", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS).select("package_root", "line")
+    return lines.where("package_root is not null").join(often, ["package_root", "line"]).groupBy("paragraph_id").agg(F.collect_set("line").alias("recurring"))  # bounded by a paragraph's lines
+
+
+def read(paragraphs: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(paragraph_id, header, page, joints, words, plausible, hyphened) of each paragraph with a text, furniture removed and broken words joined.
+
+    ``words`` are in lower case, ``plausible`` says of each whether it may be a misread one; ``joints`` are (left, right, kind), ``hyphened`` hyphened words.
+    """
+
+    def run(batches):
+        joint = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("kind", pa.string())]))
+        kinds = (pa.string(), pa.bool_(), pa.bool_(), joint, pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.string()))
+        for batch in batches:
+            rows = []
+            for pid, t, lines in zip(*(batch.column(c).to_pylist() for c in ("paragraph_id", "text", "recurring")), strict=True):
+                bare, header, page = clean(t, frozenset(lines or ()))
+                text, joints = _joined(bare)
+                found = words(text)
+                rows.append((
+                    pid, header, page, [{"left": a.lower(), "right": b.lower(), "kind": k} for a, b, k in joints],
+                    [w.lower() for w in found], [plausible(w) for w in found], re.findall(r"[^\W\d_]{2,}-[^\W\d_]{2,}", bare.lower()),
+                ))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["paragraph_id", "header", "page", "joints", "words", "plausible", "hyphened"])
+
+    shape = "paragraph_id string, header boolean, page boolean, joints array<struct<left:string,right:string,kind:string>>, words array<string>, plausible array<boolean>, hyphened array<string>"
+    texts = paragraphs.where("text is not null").join(recurring, "paragraph_id", "left").select("paragraph_id", "text", "recurring")
+    return texts.mapInArrow(run, shape)
+
+
+def word_counts(content: DataFrame) -> DataFrame:
+    """(word, n) over all paragraphs; and (left-right, n) of hyphened words."""
+    return content.select(F.explode("words").alias("word")).union(content.select(F.explode("hyphened"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -223,45 +290,24 @@ def corrections(counts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(cost, "word string, repair string, cost double, n bigint")
 
 
-def findings(paragraphs: DataFrame, known: set[str]) -> DataFrame:
-    """(paragraph_id, kind, a, b, before, after): per paragraph, header and page (no words), sure and possible breaks (left, right), and
-    words outside ``known`` with their neighbours."""
-    held = paragraphs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches):
-        known = held.value
-        for batch in batches:
-            rows = []
-            for pid, t in zip(batch.column("paragraph_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text, header, page = clean(t)
-                if header:
-                    rows.append((pid, "header", "", "", "", ""))
-                if page:
-                    rows.append((pid, "page", "", "", "", ""))
-                text, joints = _joined(text)
-                for left, right, kind in joints:
-                    rows.append((pid, "break" if kind == "sure" else "maybe", left.lower(), right.lower(), "", ""))
-                found = words(text)
-                for i, w in enumerate(found):
-                    low = w.lower()
-                    if low not in known and plausible(w):
-                        rows.append((pid, "word", low, "", found[i - 1].lower() if i else "", found[i + 1].lower() if i + 1 < len(found) else ""))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["paragraph_id", "kind", "a", "b", "before", "after"])
-
-    shape = "paragraph_id string, kind string, a string, b string, before string, after string"
-    return paragraphs.select("paragraph_id", "text").where("paragraph_id is not null and text is not null").mapInArrow(run, shape)
+def _places(content: DataFrame) -> DataFrame:
+    """(paragraph_id, word, before, after, plausible) of every word; no neighbour is an empty word."""
+    n, none = F.greatest(F.size("words") - 1, F.lit(0)), F.array(F.lit(""))
+    shifted = content.select(
+        "paragraph_id", F.col("words").alias("word"), F.concat(none, F.slice("words", F.lit(1), n)).alias("before"), F.concat(F.slice("words", F.lit(2), n), none).alias("after"), "plausible"
+    )
+    return shifted.where(F.size("word") > 0).select("paragraph_id", F.explode(F.arrays_zip("word", "before", "after", "plausible")).alias("p")).select("paragraph_id", "p.*")
 
 
-def _known(counts: DataFrame, fixes: DataFrame) -> set[str]:
+def _known(counts: DataFrame, fixes: DataFrame) -> DataFrame:
     """The most frequent words that aren't misreadings, at most KNOWN_WORDS."""
     top = counts.where(F.col("n") >= LEXICON_COUNT).join(fixes.select("word").distinct(), "word", "left_anti")
-    return {r[0] for r in top.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word").collect()}
+    return top.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word")
 
 
 def _own_hyphens(found: DataFrame, counts: DataFrame, fixes: DataFrame) -> DataFrame:
     """(a, b, broken) of the possible breaks: broken unless the hyphened word is more usual than the joined one, or only the parts are words."""
-    pairs = found.where("kind = 'maybe'").select("a", "b").distinct()
+    pairs = found.where("kind <> 'sure'").select("a", "b").distinct()
     word = counts.select("word", "n")
     n = lambda c, name: word.toDF(c, name)
     out = pairs.withColumn("whole", F.concat("a", "b")).withColumn("hyphened", F.concat_ws("-", "a", "b"))
@@ -276,53 +322,48 @@ def _own_hyphens(found: DataFrame, counts: DataFrame, fixes: DataFrame) -> DataF
 
 
 class Lexicon:
-    """Counts, corrections and findings of a corpus, each computed over all its paragraphs and written once."""
+    """Contents, counts and corrections of a corpus, each computed over all its paragraphs and written once."""
 
     def __init__(self, paragraphs: DataFrame):
         self.paragraphs = paragraphs
-        self.counts = materialise(word_counts(paragraphs), "words")
+        self.recurring = materialise(recurring_lines(paragraphs), "lines")
+        self.content = materialise(read(paragraphs, self.recurring), "content")
+        self.counts = materialise(word_counts(self.content), "words")
         self.fixes = materialise(corrections(self.counts), "fixes")
-        self.known = _known(self.counts, self.fixes)
-        self.found = materialise(findings(paragraphs, self.known), "findings")
-        self.hyphens = materialise(_own_hyphens(self.found, self.counts, self.fixes), "hyphens")
+        known = F.broadcast(_known(self.counts, self.fixes))
+        fixable = self.fixes.select("word").distinct()
+        rare = _places(self.content).where("plausible and paragraph_id is not null").join(known, "word", "left_anti").join(fixable, "word", "left_semi")
+        self.places = materialise(rare.select("paragraph_id", "word", "before", "after").distinct(), "places")
+        self.breaks = self.content.where("paragraph_id is not null").select("paragraph_id", F.explode("joints").alias("j")).select("paragraph_id", F.col("j.left").alias("a"), F.col("j.right").alias("b"), "j.kind")
+        self.hyphens = materialise(_own_hyphens(self.breaks, self.counts, self.fixes), "hyphens")
+        self.repairs = materialise(repairs(self), "repairs")
 
 
 def defects(paragraphs: DataFrame) -> DataFrame:
     """(paragraph_id, defect): the kinds of scan noise in each paragraph: hyphenation, misread, running_header, page_number.
 
-    Null ids and texts have none; rows that repeat an id count once; other columns are ignored.
+    ``paragraphs`` has (paragraph_id, package_root, text). Null ids and texts have none; rows that repeat an id count once; other columns are ignored.
     """
-    lex = Lexicon(paragraphs.select("paragraph_id", "text"))
-    found = lex.found
-    named = {"header": "running_header", "page": "page_number", "break": "hyphenation"}
-    kind = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
-    plain = found.where(F.col("kind").isin(*named)).select("paragraph_id", kind[F.col("kind")].alias("defect"))
-    hyphened = found.where("kind = 'maybe'").join(lex.hyphens.where("broken"), ["a", "b"], "left_semi").select("paragraph_id", F.lit("hyphenation").alias("defect"))
-    misread = found.where("kind = 'word'").join(lex.fixes.select(F.col("word").alias("a")).distinct(), "a", "left_semi").select("paragraph_id", F.lit("misread").alias("defect"))
-    return plain.unionByName(hyphened).unionByName(misread).distinct()
+    lex = Lexicon(paragraphs.select("paragraph_id", "package_root", "text"))
+    of = lambda rows, name: rows.select("paragraph_id", F.lit(name).alias("defect"))
+    own = lex.content.where("paragraph_id is not null")
+    out = of(own.where("header"), "running_header").unionByName(of(own.where("page"), "page_number"))
+    out = out.unionByName(of(lex.breaks.where("kind = 'sure'"), "hyphenation"))
+    out = out.unionByName(of(lex.breaks.where("kind <> 'sure'").join(lex.hyphens.where("broken"), ["a", "b"], "left_semi"), "hyphenation"))
+    return out.unionByName(of(lex.places.join(lex.repairs, ["word", "before", "after"], "left_semi"), "misread")).distinct()
 
 
 def repairs(lex: Lexicon) -> DataFrame:
     """(word, before, after, repair): for each misread word in its context the repair with the most usual neighbours.
 
     Candidates are ordered by the number of word pairs they form with the neighbours in the corpus, then by cost, frequency and spelling.
+    All words count as neighbours; only the pairs that are asked for are counted.
     """
-    held = lex.paragraphs.sparkSession.sparkContext.broadcast(lex.known)
-
-    def run(batches):
-        known = held.value
-        for batch in batches:
-            count: Counter = Counter()
-            for t in batch.column("text").to_pylist():
-                w = [x.lower() for x in words(_joined(clean(t)[0])[0])]
-                count.update((a, b) for a, b in zip(w, w[1:], strict=False) if a in known and b in known)
-            if count:
-                a, b = zip(*count, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(list(count.values()), pa.int64())], ["a", "b", "n"])
-
-    pairs = lex.paragraphs.where("text is not null").select("text").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    places = lex.found.where("kind = 'word'").select(F.col("a").alias("word"), "before", "after").distinct()
-    options = places.join(lex.fixes.withColumnRenamed("n", "m"), "word")
+    options = materialise(lex.places.select("word", "before", "after").distinct().join(lex.fixes.withColumnRenamed("n", "m"), "word"), "options")
+    asked = options.select(F.col("before").alias("a"), F.col("repair").alias("b")).union(options.select("repair", "after")).where("a <> '' and b <> ''").distinct()
+    asked = materialise(asked, "asked")
+    pairs = _places(lex.content).select(F.col("word").alias("a"), F.col("after").alias("b")).join(asked, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = materialise(pairs, "pairs")
     scored = options.join(pairs.toDF("before", "repair", "n1"), ["before", "repair"], "left").join(pairs.toDF("repair", "after", "n2"), ["repair", "after"], "left")
     score = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
     best = F.max_by("repair", F.struct(score, -F.col("cost"), "m", "repair"))
@@ -331,18 +372,18 @@ def repairs(lex: Lexicon) -> DataFrame:
 
 def repaired(paragraphs: DataFrame) -> DataFrame:
     """(paragraph_id, text, n_repairs): continuous text without page furniture, broken words joined, misread words replaced."""
-    lex = Lexicon(paragraphs.select("paragraph_id", "text"))
-    fixed = lex.found.where("kind = 'word'").withColumnRenamed("a", "word").join(repairs(lex), ["word", "before", "after"]).select("paragraph_id", "word", "repair")
-    own = lex.found.where("kind = 'maybe'").join(lex.hyphens.where("not broken"), ["a", "b"]).select("paragraph_id", F.concat("a", F.lit("-"), "b").alias("word"), F.lit("").alias("repair"))
+    lex = Lexicon(paragraphs.select("paragraph_id", "package_root", "text"))
+    fixed = lex.places.join(lex.repairs, ["word", "before", "after"]).select("paragraph_id", "word", "repair")
+    own = lex.breaks.where("kind <> 'sure'").join(lex.hyphens.where("not broken"), ["a", "b"]).select("paragraph_id", F.concat("a", F.lit("-"), "b").alias("word"), F.lit("").alias("repair"))
     todo = fixed.unionByName(own).groupBy("paragraph_id").agg(F.collect_set(F.struct("word", "repair")).alias("todo"))  # bounded by a paragraph's words
-    texts = lex.paragraphs.where("paragraph_id is not null and text is not null").groupBy("paragraph_id").agg(F.max("text").alias("text"))
+    texts = lex.paragraphs.where("paragraph_id is not null and text is not null").groupBy("paragraph_id").agg(F.max("text").alias("text")).join(lex.recurring, "paragraph_id", "left")
 
     def run(batches):
         for batch in batches:
             rows = []
-            for pid, t, todo in zip(*(batch.column(c).to_pylist() for c in ("paragraph_id", "text", "todo")), strict=True):
+            for pid, t, lines, todo in zip(*(batch.column(c).to_pylist() for c in ("paragraph_id", "text", "recurring", "todo")), strict=True):
                 fix = {x["word"]: x["repair"] for x in todo or []}
-                text, header, page = clean(t)
+                text, header, page = clean(t, frozenset(lines or ()))
                 n = header + page
                 for s, e, left, right, kind in reversed(breaks(text)):
                     own = f"{left}-{right}".lower() in fix
@@ -364,4 +405,4 @@ def repaired(paragraphs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["paragraph_id", "text", "n_repairs"])
 
-    return texts.join(todo, "paragraph_id", "left").select("paragraph_id", "text", "todo").mapInArrow(run, "paragraph_id string, text string, n_repairs bigint")
+    return texts.join(todo, "paragraph_id", "left").select("paragraph_id", "text", "recurring", "todo").mapInArrow(run, "paragraph_id string, text string, n_repairs bigint")
