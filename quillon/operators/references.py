@@ -2,7 +2,8 @@
 
 References and existing keys are turned into signed deltas per key and snapshot, summed before any window (so a key
 named by a third of all rows becomes one row per snapshot first), and accumulated in snapshot order. A key with
-references and without existence in a snapshot is an orphan there.
+references and without existence in a snapshot is an orphan there. ReferenceCounts keeps the two counts of each key in a
+table and takes one delivery's deltas at a time; orphan_references() accumulates those of the whole history at once.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.paths import base_name, normal_path, references
-from quillon.session import table
+from quillon.operators.snapshots import snapshot_changes
+from quillon.session import materialise, table
 
 #: Reference fields by table.
 FIELDS = {"claim_manifest": ("source_data", "raw_record"), "assembly_manifest": ("figure_panel", "source_record")}
@@ -107,6 +109,51 @@ def orphan_references(tables: dict[str, DataFrame], manifest: DataFrame) -> Data
     return found.select("src_table", "row_id", "ref_field", "ref_path", "orphan_kind", "period")
 
 
+class ReferenceCounts:
+    """Signed reference and existence counts per key, kept in a table (package_root, ref_key, exist, refs) and updated from deltas."""
+
+    def __init__(self, spark: SparkSession):
+        self.rows = spark.createDataFrame([], "package_root string, ref_key string, exist bigint, refs bigint")
+
+    def apply(self, existence: DataFrame, reference: DataFrame) -> DataFrame:
+        """Add deltas (package_root, ref_key, exist) and (package_root, ref_key, refs); the orphans (package_root, ref_key, refs) of the new state."""
+        zero = F.lit(0).cast("bigint")
+        deltas = existence.select("package_root", "ref_key", "exist", zero.alias("refs")).unionByName(reference.select("package_root", "ref_key", zero.alias("exist"), "refs"))
+        summed = self.rows.unionByName(deltas).groupBy("package_root", "ref_key").agg(F.sum("exist").alias("exist"), F.sum("refs").alias("refs"))
+        self.rows = materialise(summed.where("exist <> 0 or refs <> 0"), "counts")
+        return self.rows.where("refs > 0 and exist <= 0").select("package_root", "ref_key", "refs")
+
+
+def existence_changes(changes: DataFrame) -> DataFrame:
+    """(package_root, ref_key, snapshot_no, exist) of snapshot changes: files added to less files removed from each full path and file name."""
+    keys = F.explode(F.array_distinct(F.array(F.col("path"), base_name(F.col("path"))))).alias("ref_key")
+    signed = F.when(F.col("change_kind") == "added", 1).otherwise(-1).alias("d")
+    rows = changes.where("change_kind <> 'changed'").select("package_root", "snapshot_no", keys, signed)
+    return rows.groupBy("package_root", "ref_key", "snapshot_no").agg(F.sum("d").alias("exist")).where("exist <> 0")
+
+
+def current_orphans(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame:
+    """(package_root, ref_path, n_refs): references written against the last snapshot of their package that it doesn't list.
+
+    Delivery by delivery the counts take the files that came and went, and the references of the packages it lists in place of those
+    of their listing before.
+    """
+    spark = manifest.sparkSession
+    changes = materialise(existence_changes(snapshot_changes(manifest, baseline=True)), "existence")
+    listed = manifest.where("package_root is not null and snapshot_no is not null and path is not null").select("package_root", F.col("snapshot_no").cast("bigint").alias("no")).distinct()
+    nos = listed.groupBy("package_root").agg(F.array_sort(F.collect_list("no")).alias("nos"))
+    counted = reference_rows(tables).groupBy("package_root", F.col("ref_path").alias("ref_key"), "snapshot_no").agg(F.count("*").alias("n"))
+    at = F.array_position("nos", F.col("snapshot_no")).cast("int")
+    ends = F.explode(F.array(F.struct(F.col("snapshot_no").alias("no"), F.col("n").alias("refs")), F.struct(F.get("nos", at).alias("no"), (-F.col("n")).alias("refs")))).alias("e")
+    signed = counted.join(nos, "package_root").where(at > 0).select("package_root", "ref_key", ends).select("package_root", "ref_key", "e.no", "e.refs").where("no is not null")
+    signed = materialise(signed.groupBy("package_root", "ref_key", "no").agg(F.sum("refs").alias("refs")), "references")
+    counts = ReferenceCounts(spark)
+    orphans = spark.createDataFrame([], "package_root string, ref_key string, refs bigint")
+    for no in [r[0] for r in listed.select("no").distinct().orderBy("no").collect()]:  # one per delivery
+        orphans = counts.apply(changes.where(F.col("snapshot_no") == no), signed.where(F.col("no") == no))
+    return orphans.select("package_root", F.col("ref_key").alias("ref_path"), F.col("refs").alias("n_refs"))
+
+
 def orphan_counts(orphans: DataFrame) -> DataFrame:
     """Orphans per table and month, by kind."""
     return orphans.groupBy("src_table", "period", "orphan_kind").agg(F.count("*").alias("n_orphans"))
@@ -123,3 +170,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_counts(_orphans(spark, sf_dir))
+
+
+def p6_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans of each package's last snapshot, from counts that are updated by its changes."""
+    return current_orphans({name: table(spark, sf_dir, name) for name in FIELDS}, table(spark, sf_dir, "file_hash_manifest"))

@@ -1,8 +1,8 @@
 """Rows that fail to parse.
 
 A file's header gives a schema (delimiter, columns, target table); each schema gives one anchored pattern for whole
-rows. Rows that match it are valid. The rest pass through field-prefix patterns, one more field at a time, which
-name the first broken field, and get the first reason that applies.
+rows. Rows that match it are valid. The rest pass through field-prefix patterns, one more field at a time, up to the first
+field that breaks; where it lies and what follows it gives the reason. Rows are grouped by their file's pattern, so that one pattern serves many rows.
 """
 
 from __future__ import annotations
@@ -66,13 +66,17 @@ def check_rows(raw: DataFrame) -> DataFrame:
     field = field_pattern(F.col("delimiter"))
     d, n = F.col("delimiter"), F.size("columns")
     well_formed = F.rlike("line", F.concat(F.lit("^"), field, F.lit("(?:"), d, field, F.lit(")*+$(?!\n)")))
-    rows = rows.withColumn("valid", valid).withColumn("quoted_well", F.when(F.col("valid"), True).otherwise(well_formed))
-    rows = rows.withColumn("fields", F.when(F.col("quoted_well"), split_fields(F.col("line"), d)))
+    rows = rows.withColumn("valid", valid)
 
     def prefix(k: Column) -> Column:
         more = F.concat(F.lit("(?:"), d, field, F.lit("){"), (k - 1).cast("string"), F.lit("}"))
         return F.concat(F.lit("^"), field, more, F.lit("(?="), d, F.lit("|$(?!\n))"))
 
+    stands = F.transform(F.sequence(F.lit(1), n), lambda k: F.rlike(F.col("line"), prefix(k)))
+    first = F.array_position(stands, False).cast("int")  # 0: all of the header's fields stand
+    rows = rows.withColumn("first_bad", F.when(F.col("valid"), 0).otherwise(first))
+    rows = rows.withColumn("quoted_well", F.when(F.col("valid"), True).otherwise(well_formed))
+    rows = rows.withColumn("fields", F.when(F.col("quoted_well"), split_fields(F.col("line"), d)))
     good = F.lit(True)
     bad_at = F.lit(None).cast("int")
     for target, typed in TYPED.items():
@@ -81,11 +85,12 @@ def check_rows(raw: DataFrame) -> DataFrame:
             ok = ~((F.col("target") == target) & (at > 0)) | acceptable(F.get(F.col("fields"), at - 1), probability)
             ok = F.coalesce(ok, F.lit(True))
             good, bad_at = good & ok, F.least(bad_at, F.when(~ok, at))
+    # A field that breaks though the row is well formed isn't there: the row ends before it.
+    broken_at = F.when(F.col("quoted_well"), "column_count").otherwise("broken_quoting")
     reason = (
-        F.when(F.col("valid"), None).when(~F.col("quoted_well"), "broken_quoting").when(F.size("fields") != n, "column_count").when(~good, "invalid_value")
+        F.when(F.col("valid"), None).when((F.col("first_bad") > 0) | ~F.col("quoted_well") | (F.size("fields") != n), broken_at).when(~good, "invalid_value")
     )
-    first_bad = F.array_position(F.transform(F.sequence(F.lit(1), n), lambda k: F.rlike(F.col("line"), prefix(k))), False).cast("int")
-    broken = F.when(F.col("reason") == "invalid_value", bad_at).when(F.col("reason").isNotNull(), F.when(first_bad == 0, n + 1).otherwise(first_bad))
+    broken = F.when(F.col("reason") == "invalid_value", bad_at).when(F.col("reason").isNotNull(), F.when(F.col("first_bad") == 0, n + 1).otherwise(F.col("first_bad")))
     return rows.withColumn("reason", reason).withColumn("broken_field", broken).select(
         "row_id", "package_root", "figure_file", "line_no", "target", "columns", "fields", "reason", "broken_field"
     )
@@ -121,6 +126,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p4_broken_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first broken field of each row that can't be loaded, by number and name; one past the last column has no name."""
+    bad = check_rows(table(spark, sf_dir, "raw_source_rows")).where("reason is not null")
+    return bad.select(F.col("row_id").cast("bigint").alias("row_id"), "reason", F.col("broken_field").cast("bigint").alias("broken_field"), F.get("columns", F.col("broken_field") - 1).alias("column_name"))
+
+
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid rows of raw_source_rows with their typed numbers."""
     rows = typed_rows(check_rows(table(spark, sf_dir, "raw_source_rows")))

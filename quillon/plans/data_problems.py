@@ -6,10 +6,13 @@ from quillon.operators import references, rows, snapshots
 
 QUERIES = {
     "p3_found": snapshots.p3_found,
+    "p3_changes": snapshots.p3_changes,
     "p4_found": rows.p4_found,
+    "p4_broken_field": rows.p4_broken_field,
     "p4_loaded": rows.p4_loaded,
     "p6_found": references.p6_found,
     "p6_counts": references.p6_counts,
+    "p6_current": references.p6_current,
 }
 
 
@@ -22,22 +25,21 @@ def _path(c: str) -> str:
 
 
 _LISTING = f"""listed as (
-  select package_root, snapshot_no::bigint as snapshot_no, path, h from (
-    select *, row_number() over (partition by package_root, snapshot_no, path order by received_at desc nulls last, h desc nulls last) as k from (
-      select package_root, snapshot_no, {_path("path")} as path, nullif(lower({_trimmed("sha256")}), '') as h, received_at
+  select package_root, snapshot_no::bigint as snapshot_no, path, h, size_bytes from (
+    select *, row_number() over (partition by package_root, snapshot_no, path order by received_at desc nulls last, h desc nulls last, size_bytes desc nulls last) as k from (
+      select package_root, snapshot_no, {_path("path")} as path, nullif(lower({_trimmed("sha256")}), '') as h, received_at, size_bytes
       from file_hash_manifest where package_root is not null and snapshot_no is not null and path is not null))
   where k = 1)"""
 
-_P3 = f"""with {_LISTING},
+_CHANGES = f"""with {_LISTING},
 nos as (select package_root, snapshot_no, lag(snapshot_no) over (partition by package_root order by snapshot_no) as prev
         from (select distinct package_root, snapshot_no from listed)),
 cur as (select l.* from listed l join nos using (package_root, snapshot_no) where prev is not null),
-old as (select l.package_root, n.snapshot_no, l.path, l.h from listed l join nos n on n.package_root = l.package_root and n.prev = l.snapshot_no),
+old as (select l.package_root, n.snapshot_no, l.path, l.h, l.size_bytes from listed l join nos n on n.package_root = l.package_root and n.prev = l.snapshot_no),
 both_ as (select coalesce(c.package_root, o.package_root) as package_root, coalesce(c.snapshot_no, o.snapshot_no) as snapshot_no,
-                 coalesce(c.path, o.path) as path, c.path is null as gone, o.path is null as fresh, c.h as new_h, o.h as old_h
-          from cur c full outer join old o on c.package_root = o.package_root and c.snapshot_no = o.snapshot_no and c.path = o.path)
-select package_root, snapshot_no, path, case when fresh then 'added' when gone then 'removed' else 'changed' end as change_kind
-from both_ where fresh or gone or new_h <> old_h"""
+                 coalesce(c.path, o.path) as path, c.path is null as gone, o.path is null as fresh, c.h as new_h, o.h as old_h, c.size_bytes as new_size, o.size_bytes as old_size
+          from cur c full outer join old o on c.package_root = o.package_root and c.snapshot_no = o.snapshot_no and c.path = o.path),
+changes as (select *, case when fresh then 'added' when gone then 'removed' else 'changed' end as change_kind from both_ where fresh or gone or new_h <> old_h)"""
 
 
 def _refs(name: str, field: str) -> str:
@@ -101,15 +103,27 @@ def _bad(name: str, cols: dict[str, bool]) -> str:
 from (select *, row_number() over (partition by row_id order by ingested_at desc nulls last) as k from {name}) where k = 1 and not ({good})"""
 
 
+_FIELD = lambda p: rf'(?:"(?:[^"]|"")*"|[^"{p}]*)'
+_FIRST_BROKEN = lambda d, p: rf"""list_filter(range(1, len(columns) + 1), lambda k: not regexp_matches(line, '^{_FIELD(p)}(?:{p}{_FIELD(p)}){{' || (k - 1)::varchar || '}}(?:{p}|$)'))[1]"""
 _TRIM_FIELD = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 
 SQL = {
-    "p3_found": _P3,
+    "p3_found": f"{_CHANGES} select package_root, snapshot_no, path, change_kind from changes",
+    "p3_changes": f"{_CHANGES} select package_root, snapshot_no, path, change_kind, old_h as old_hash, new_h as new_hash, old_size, new_size from changes",
     "p4_found": f"with {_CHECKED} select 'raw_source_rows' as src_table, row_id, reason from checked where reason is not null union all "
     + " union all ".join(_bad(name, cols) for name, cols in rows.TYPED.items()),
     "p4_loaded": f"with {_CHECKED} select row_id, target, "
     + ", ".join(f"round({_value(_TRIM_FIELD.format(c))}, 9) as {n}" for c, n in (("mean", "mean"), ("p_value", "p_value"), ("val", '"value"')))
     + " from checked where reason is null",
+    "p4_broken_field": f"""with {_CHECKED}, broken as (select c.row_id, reason, columns, case when reason = 'invalid_value' then least(
+  case when target = 'figure_7_summary' and not ({_acceptable("mean", False)}) then list_position(columns, 'mean') end,
+  case when target = 'figure_7_summary' and not ({_acceptable("p_value", True)}) then list_position(columns, 'p_value') end,
+  case when target = 'figure_6_field_measurements' and not ({_acceptable("val", False)}) then list_position(columns, 'value') end)
+ else coalesce({_case("d", _FIRST_BROKEN)}, len(columns) + 1) end as broken_field
+ from checked c join (select row_id, line, d from data) x using (row_id) where reason is not null)
+select row_id, reason, broken_field::bigint as broken_field, columns[broken_field] as column_name from broken""",
+    "p6_current": f"""{_ORPHANS}, last_ as (select package_root, max(snapshot_no) as no from listed group by 1)
+select o.package_root, ref_path, count(*) as n_refs from orphans o join last_ l on l.package_root = o.package_root and no = o.snapshot_no group by 1, 2""",
     "p6_found": f"{_ORPHANS} select src_table, row_id, ref_field, ref_path, orphan_kind from orphans",
     "p6_counts": f"{_ORPHANS} select src_table, period, orphan_kind, count(*) as n_orphans from orphans group by 1, 2, 3",
 }

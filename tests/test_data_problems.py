@@ -9,7 +9,17 @@ FILES = "package_root string, snapshot_no int, path string, sha256 string, recei
 
 def changes(spark, listed):
     df = spark.createDataFrame([(*r, "x", "y") for r in listed], FILES)
-    return sorted(tuple(r) for r in snapshots.snapshot_changes(df, 2).collect())
+    return sorted(tuple(r)[:4] for r in snapshots.snapshot_changes(df, 2).collect())
+
+
+def test_hashes_and_sizes_of_changes(spark):
+    listed = [("a", 1, "one", "AA", 10), ("a", 1, "two", "bb", 20), ("a", 2, "one", "ab", None), ("a", 2, "three", None, 5), ("b", 2, "two", "c", 1)]
+    df = spark.createDataFrame([(*r, T[0]) for r in listed], "package_root string, snapshot_no int, path string, sha256 string, size_bytes bigint, received_at timestamp")
+    got = sorted(tuple(r) for r in snapshots.snapshot_changes(df, 3, sizes=True).collect())
+    assert got == [("a", 2, "one", "changed", "aa", "ab", 10, None), ("a", 2, "three", "added", None, None, None, 5), ("a", 2, "two", "removed", "bb", None, 20, None)]
+    assert sorted(tuple(r)[:4] for r in snapshots.snapshot_changes(df, 3, baseline=True).collect()) == [
+        ("a", 1, "one", "added"), ("a", 1, "two", "added"), ("a", 2, "one", "changed"), ("a", 2, "three", "added"), ("a", 2, "two", "removed"), ("b", 2, "two", "added"),
+    ]
 
 
 def test_snapshot_changes_with_gaps_case_and_unknown_hashes(spark):
@@ -73,6 +83,16 @@ def test_orphans(spark):
     assert {r["period"] for r in out.collect()} == {"2031-01"}
 
 
+def test_counts_are_kept_from_delivery_to_delivery(spark):
+    listed = [("p", 1, "d/a.csv"), ("p", 1, "e/a.csv"), ("p", 2, "d/a.csv"), ("p", 4, "x"), ("q", 1, "z")]
+    manifest = spark.createDataFrame([(*r, "h", T[0], "", "") for r in listed], FILES)
+    claims = [(1, "p", 1, "nothing", None), (2, "p", 4, "a.csv; a.csv|x", "e/a.csv"), (3, "p", 4, "a.csv", None), (4, "q", 1, "z; y", None), (5, "q", 9, "w", None)]
+    df = spark.createDataFrame([(*r, T[5], T[6], "x", 1) for r in claims], CLAIMS)
+    got = sorted(tuple(r) for r in references.current_orphans({"claim_manifest": df}, manifest).collect())
+    assert got == [("p", "a.csv", 2), ("p", "e/a.csv", 1), ("q", "y", 1)]
+    assert references.current_orphans({"claim_manifest": df}, manifest.limit(0)).count() == 0
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (201, 200), (200, 201)]
     got = dict(components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect())
