@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from quillon.operators.provenance import ALIASES, MODALITIES
 from quillon.plans.dialect import SPARK, Spark, both
 
 #: Categories by keyword, with the suffixes they are limited to.
@@ -23,8 +24,6 @@ CATEGORY_RULES = [
 ]
 CATEGORIES = tuple(c for c, _, _ in CATEGORY_RULES)
 ROLES = {"figures": "figure_panel", "raw_images": "raw_image", "source_data": "source_data", "figure_assembly": "assembly_file", "manuscript": "manuscript", "supplementary": "supplementary", "protocols": "protocol", "statistics_code": "analysis_code"}
-MODALITIES = ("microscopy", "western_blot", "chart", "schematic", "other")
-ALIASES = {"blot": "western_blot", "gel": "western_blot", "western blot": "western_blot", "wb": "western_blot", "image": "other", "photo": "other", "table": "chart", "graph": "chart", "plot": "chart", "bar chart": "chart", "line chart": "chart", "diagram": "schematic", "flowchart": "schematic", "flow chart": "schematic", "icon": "schematic"}
 NO_REFERENCE = ("", "na", "n/a", "none", "not_applicable", "not applicable", "-")
 EXPECTED = ("manuscript", "supplementary", "source_data", "figures", "raw_images", "figure_assembly", "protocols", "ethics_irb")
 #: Caps by tag; whether a contradiction tag lifts them.
@@ -155,15 +154,15 @@ select f.package_root, f.path as figure, s.path as source, f.k as figure_key fro
 def _resolved(d: Spark) -> str:
     """Links of assembly rows, one for each figure and source a row names, with both ends looked up: by full path, else by file name.
 
-    A field without a reference gives null. The SQL for comparison still takes the first reference of each field.
+    A field without a reference gives null.
     """
     name = d.extract("path", "([^/]*)$", 1)
     if d.spark:
         every = lambda f: f"explode(array_distinct({d.transform}({_pieces(d, f)}, {d.fn('x', _path(d, 'x'))})))"
         ends = f"figure, source from links lateral view outer {every('figure_panel')} f_ as figure lateral view outer {every('source_record')} s_ as source"
     else:
-        one = lambda f: d.at(_pieces(d, f), "1")
-        ends = f"{_path(d, one('figure_panel'))} as figure, {_path(d, one('source_record'))} as source from links"
+        every = lambda f: f"(select unnest(case when len({_pieces(d, f)}) = 0 then [null] else list_distinct({d.transform}({_pieces(d, f)}, {d.fn('x', _path(d, 'x'))})) end) as {f}_)"
+        ends = f"f_.figure_panel_ as figure, s_.source_record_ as source from links, lateral {every('figure_panel')} f_, lateral {every('source_record')} s_"
     return f"""{_files(d)}, {_links(d)}, ends as (select row_id, package_root, relation_type, modality, {ends} where package_root is not null),
 names as (select package_root, {name} as name, min(path) as path from files group by package_root, {name}),
 resolved as (select e.row_id, e.package_root, relation_type, modality, coalesce(f1.path, f2.path) as figure, coalesce(s1.path, s2.path) as source, figure as stated_figure, source as stated_source from ends e
@@ -175,17 +174,6 @@ def j09_assembly_files(d: Spark) -> str:
     return f"with {_resolved(d)} select row_id, figure, source from resolved"
 
 
-_RELATIONS = ("declared_derived_from", "same_field_different_channel", "same_membrane_reprobed", "cropped_from")
-
-
-def p01_link_validation(d: Spark) -> str:
-    """What each assembly row asserts: an expected trace, a relation between figures, a candidate or a warning."""
-    risk = f"""case when stated_figure is null or stated_source is null then 'incomplete' when relation_type is null or lower(relation_type) not in ({_quoted(_RELATIONS)}) then 'unknown_relation'
- when figure is null or source is null then 'unresolved' when figure not like 'figures/%' then 'not_a_figure' when source like 'raw_images/%' or source like 'source_data/%' then 'expected_traceability'
- when source like 'figures/%' and lower(relation_type) in ('same_field_different_channel', 'same_membrane_reprobed') then 'expected_traceability' else 'candidate' end"""
-    return f"with {_resolved(d)}, v as (select row_id, {risk} as effect from resolved) select row_id, effect, case effect when 'expected_traceability' then 0.98 when 'candidate' then 0.5 else 0.0 end as confidence from v".replace("0.98", "cast(0.98 as double)").replace("then 0.5 else 0.0", "then cast(0.5 as double) else cast(0.0 as double)")
-
-
 def j07_graph_edges(d: Spark) -> str:
     """Nodes and distinct edges of each package's graph; links with an unknown end as warnings (G-03)."""
     return f"""with {_resolved(d)}, e as (select distinct package_root, figure, source, relation_type from resolved where figure is not null and source is not null)
@@ -196,62 +184,6 @@ def j07_graph_warnings(d: Spark) -> str:
     return f"with {_resolved(d)} select package_root, count(*) as n_links, count(case when figure is null then 1 end) as unknown_figure, count(case when source is null then 1 end) as unknown_source from resolved group by package_root"
 
 
-def p05_modality_routing(d: Spark) -> str:
-    """Panels by their declared kinds: charts and schematics are not scanned, mixed ones are kept as conflicts."""
-    m = f"case when trim(lower(coalesce(modality, ''))) in ('chart', 'schematic', 'graph', 'table', 'diagram', 'plot') then 1 else 0 end"
-    rows = "count(distinct row_id)" if d.spark else "count(*)"  # a row with several sources has several links
-    return f"""with {_resolved(d)}, p as (select package_root, figure, min({m}) as lo, max({m}) as hi, {rows} as n from resolved where figure is not null group by package_root, figure)
-select package_root, figure, n, case when lo = 1 then 'exclude' when hi = 1 then 'conflict' else 'scan' end as route from p"""
-
-
-_EDGES = [
-    (i, left, right, scope, declared, disclosed)
-    for i, (left, right, scope, declared, disclosed) in enumerate(
-        (left, right, scope, declared, disclosed)
-        for left, right in (("figures/a.png", "figures/b.png"), ("figures/a.png", "raw_images/r.tif"), ("raw_images/r.tif", "raw_images/s.tif"), ("figures/a.png", "figures/a.png"))
-        for scope in ("global", "local_patch")
-        for declared in (True, False)
-        for disclosed in ("none", "legitimate", "unjustified")
-    )
-]
-
-
-def _classified(d: Spark) -> str:
-    tag = """case when left_path = right_path and scope = 'local_patch' then 'same_image_copy_move'
- when declared and lr = 'figure_panel' and rr = 'figure_panel' then case when scope = 'local_patch' then 'declared_local_patch_requires_verification' else 'manifest_conflict' end
- when declared then 'expected_traceability' when lr <> rr and lr in ('figure_panel', 'raw_image') and rr in ('figure_panel', 'raw_image') then 'unresolved_fig_raw_similarity'
- when lr = 'figure_panel' and rr = 'figure_panel' then case disclosed when 'legitimate' then 'disclosed_legitimate_reuse' when 'unjustified' then 'disclosed_unjustified_reuse' else case when scope = 'local_patch' then 'local_patch_cross_context' else 'cross_context_reuse_candidate' end end
- else 'unresolved_similarity' end"""
-    return f"""{d.values('edges', 'id, left_path, right_path, scope, declared, disclosed', _EDGES)}, roles as (select *, {_role('left_path')} as lr, {_role('right_path')} as rr from edges),
-classified as (select id, left_path, right_path, scope, {tag} as tag from roles)"""
-
-
-def p07_edge_classes(d: Spark) -> str:
-    return f"with {_classified(d)} select id, tag, tag <> 'expected_traceability' as reportable from classified"
-
-
-def p08_cluster_edges(d: Spark) -> str:
-    """Of each pair of paths the reuse edges if there are any, else all reportable ones."""
-    reuse = "tag in ('cross_context_reuse_candidate', 'local_patch_cross_context', 'same_image_copy_move', 'disclosed_unjustified_reuse')"
-    return f"""with {_classified(d)}, m as (select *, case when {reuse} then 1 else 0 end as reuse, max(case when {reuse} then 1 else 0 end) over (partition by left_path, right_path) as any_ from classified where tag <> 'expected_traceability')
-select id, tag from m where any_ = 0 or reuse = 1"""
-
-
-def p09_candidate_rewrite(d: Spark) -> str:
-    """Per pair of paths the set of its edges' tags and the one that names the candidate."""
-    order = ("same_image_copy_move", "manifest_conflict", "cross_context_reuse_candidate", "local_patch_cross_context", "disclosed_unjustified_reuse", "disclosed_legitimate_reuse", "declared_local_patch_requires_verification", "unresolved_fig_raw_similarity", "unresolved_similarity")
-    pick = " ".join(f"when max(case when tag = '{t}' then 1 else 0 end) = 1 then '{t}'" for t in order)
-    return f"with {_classified(d)} select left_path, right_path, {d.join(d.collect('tag'), ',')} as tags, case {pick} end as named from classified where tag <> 'expected_traceability' group by left_path, right_path"
-
-
-def j12_disclosure_window(d: Spark) -> str:
-    """Paragraphs in which two figures are named within 500 characters of each other, one of them near a word of reuse."""
-    rows = [(1, "Figure 2B reuses the blot that Figure 3A shows; the membrane was reprobed."), (2, "Figure 2B is new. " + "x " * 300 + "Figure 3A was reused."), (3, "Fig 2b alone")]
-    at = lambda w: f"position('{w}' in lower(body))"
-    return f"""with {d.values('v', 'id, body', rows)}, p as (select id, body, {at('figure 2b')} as a, {at('figure 3a')} as b from v)
-select id, a, b, a > 0 and b > 0 and abs(a - b) <= 500 and {d.like("substring(lower(body), greatest(1, least(a, b) - 500), abs(a - b) + 1000)", 'reus|reprob|same membrane|previously shown')} as disclosed from p"""
-
-
 #: Candidates that the screens make, one for each kind of tag.
 _TAGS = [*CAPS, *CONTEXT_CAPS, "expected_traceability", "missing_source_data", *R4_TAGS]
 _CANDIDATES = [
@@ -419,10 +351,7 @@ def calibrated(candidates: DataFrame) -> DataFrame:
 QUERIES, SQL = both([
     sc60_file_categories, sc61_figure_keys, sc62_roles, sc63_resource_ids, sc64_modalities, sc66_references, sc67_package_hash, sc69_publication_status, sc71_expected_risk, sc72_owners,
     a27_missing_materials, a28_claim_coverage, a29_risk_histogram, a30_overall_risk, a31_action_queue, a33_unsupported_formats, a34_checklist, a36_eval_metrics, a38_dedup_records,
-    j07_graph_edges, j07_graph_warnings, j08_figures_to_sources, j09_assembly_files, j12_disclosure_window, j14_claim_files, j17_controls, j20_reaudit_diff,
-    p01_link_validation, p05_modality_routing, p07_edge_classes, p08_cluster_edges, p09_candidate_rewrite, cal02_risks, cal06_cap_log, cal09_positive,
+    j07_graph_edges, j07_graph_warnings, j08_figures_to_sources, j09_assembly_files, j14_claim_files, j17_controls, j20_reaudit_diff,
+    cal02_risks, cal06_cap_log, cal09_positive,
     r01_snapshot_manifest, r02_metric_diff, snk02_safe_csv,
 ])
-# Names that begin with p and a digit are the data problems' own.
-QUERIES = {("prov" + k[1:] if k[0] == "p" else k): v for k, v in QUERIES.items()}
-SQL = {("prov" + k[1:] if k[0] == "p" else k): v for k, v in SQL.items()}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillon.plans.dialect import Spark, both
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.operators import text as T
+from quillon.plans.dialect import DUCK, Spark, both
+from quillon.session import table
 
 #: Fixed values.
 SECTIONS = ("abstract", "introduction", "methods", "results", "discussion", "conclusion", "materials and methods")
-DISCLOSURE = r"(?i)(previously (published|reported|posted)|preprint|thesis|dissertation|adapted from|reproduced from|earlier version|overlap(s)? with)"
-PLACEHOLDERS = r"\b(TODO|TBD|XXX|FIXME|INSERT)\b"
-DOI = r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+"
 
 
 def latest_paragraphs(d: Spark) -> str:
@@ -98,18 +100,6 @@ select distinct left_id, right_id, round(j, 6) as similarity from scored where j
 union all select id, id, 1.0 from classes where members > 1 and lo < hi and nm_lo is not null"""
 
 
-def sc38_disclosure(d: Spark) -> str:
-    return f"with {latest_paragraphs(d)} select category, count(*) as n, count(case when {d.like('text', DISCLOSURE)} then 1 end) as disclosed from paras where text is not null group by category"
-
-
-def sc39_classify_overlap(d: Spark) -> str:
-    rows = [(s, c, x, j) for s in ("methods", "results", "abstract", "unknown") for c in ("thesis", "manuscript") for x in (True, False) for j in (0.36, 0.47, 0.55)]
-    return f"""with {d.values('v', 'section, category, disclosed, similarity', rows)}
-select section, category, disclosed, similarity, case when section = 'methods' then 'methods_boilerplate_overlap' when disclosed and category in ('thesis', 'preprints') then 'self_overlap_candidate'
- when section = 'results' and similarity >= 0.45 and not disclosed then 'text_overlap_candidate' when section in ('abstract', 'conclusion') and similarity >= 0.5 then 'text_overlap_candidate' else 'text_overlap_weak' end as kind,
-case when section = 'methods' or (disclosed and category in ('thesis', 'preprints')) then 'R2' when (section = 'results' and similarity >= 0.45 and not disclosed) or (section in ('abstract', 'conclusion') and similarity >= 0.5) then 'R3' else 'R2_possible' end as risk from v"""
-
-
 def _anchor(d: Spark) -> str:
     """The first twelve tokens of the first sentence that has as many, else of the whole text."""
     sentences = d.split("text", "[.!?]+[ \\n]+" if d.spark else "[.!?]+[ \\n]+")
@@ -142,24 +132,97 @@ def x01_phrase_search(d: Spark) -> str:
     return f"with {words}, {runs}, q as (select item_id, {_anchor(d)} as phrase from eval_items) select distinct doc_id, item_id from runs join q on q.phrase = runs.phrase where last_ is not null"
 
 
-def sc43_readiness(d: Spark) -> str:
-    """Per language label: sentences, long ones, words, placeholders and DOIs of its documents."""
-    sentences = d.split("text", "[.!?。！？]+[ \\n]*")
-    words = lambda s: f"{d.size}({d.filter}({d.split(s, '[ \\n\\t]+')}, {d.fn('w', chr(119) + ' <> ' + repr(''))}))"
-    counts = f"{d.transform}({d.filter}({sentences}, {d.fn('s', 'trim(s) <> ' + repr(''))}), {d.fn('s', words('s'))})"
-    total = f"aggregate({counts}, 0, (a, x) -> a + x)" if d.spark else f"list_sum({counts})"
-    per = f"""per as (select coalesce(lang, 'none') as lang, cast({d.size}({counts}) as bigint) as n, cast({d.size}({d.filter}({counts}, {d.fn('c', 'c >= 45')})) as bigint) as n_long, cast({total} as bigint) as words,
-cast({d.size}({d.all('text', PLACEHOLDERS)}) as bigint) as holders, cast({d.size}({d.all('text', DOI)}) as bigint) as dois from documents where text is not null)"""
-    return f"with {per} select lang, count(*) as n_documents, cast(sum(n) as bigint) as n_sentences, cast(sum(n_long) as bigint) as n_long, cast(sum(words) as bigint) as n_words, cast(sum(holders) as bigint) as n_placeholders, cast(sum(dois) as bigint) as n_dois from per group by lang"
-
-
-def sc44_dois(d: Spark) -> str:
-    """DOIs of a reference list, in order, without closing punctuation, each once."""
-    rows = [(1, "See doi:10.1234/ABC.5, and https://doi.org/10.5555/x-y_z)."), (2, "none here"), (3, "10.1000/a;10.1000/A 10.1000/b")]
-    found = f"{d.transform}({d.all('t', DOI)}, {d.fn('x', 'lower(' + d.sub('x', '[.,;:)]+$', '') + ')')})"
-    return f"with {d.values('v', 'id, t', rows)} select id, {d.join(found, '|')} as dois from v"
-
-
-QUERIES, SQL = both([
-    sc30_normal_space, sc31_tokens, sc32_shingles, sc33_sections, sc34_split_paragraphs, j01_overlap, sc38_disclosure, sc39_classify_overlap, sc40_anchor_phrase, t02_query_paragraphs, x01_phrase_search, sc43_readiness, sc44_dois,
-])
+QUERIES, SQL = both([sc30_normal_space, sc31_tokens, sc32_shingles, sc33_sections, sc34_split_paragraphs, j01_overlap, sc40_anchor_phrase, t02_query_paragraphs, x01_phrase_search])
+
+
+# From here on the queries are operators over DataFrames, and their SQL is written apart.
+
+
+def one_paragraph(spark: SparkSession, d: str) -> DataFrame:
+    """One row per paragraph_id; repeats differ in nulls only."""
+    cols = ("doc_id", "package_root", "path", "category", "section", "text")
+    return table(spark, d, "paragraphs").groupBy("paragraph_id").agg(*[F.max(c).alias(c) for c in cols])
+
+
+def sc30_normal_space(spark: SparkSession, d: str) -> DataFrame:
+    return one_paragraph(spark, d).where("text is not null").select("paragraph_id", T.normal_space(F.col("text")).alias("text"))
+
+
+def sc38_disclosure(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of each category that disclose earlier work."""
+    rows = one_paragraph(spark, d).where("text is not null")
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if(T.discloses(F.col("text"))).alias("disclosed"))
+
+
+def overlap_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of paragraphs with what they are candidates of: (left_id, right_id, similarity, kind, risk, tags)."""
+    sides = one_paragraph(spark, d).select("paragraph_id", "section", "category", "text")
+    side = lambda name: sides.toDF(f"{name}_id", f"{name}_section", f"{name}_category", f"{name}_text")
+    pairs = QUERIES["j01_overlap"](spark, d).join(side("left"), "left_id").join(side("right"), "right_id")
+    return T.classify_overlap(pairs).select("left_id", "right_id", F.col("similarity").cast("double").alias("similarity"), "kind", "risk", "tags")
+
+
+def sc39_classify_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_candidates(spark, d).withColumn("tags", F.array_join("tags", ","))
+
+
+def sc37_overlap_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The first five shared shingles of each overlap of two paragraphs."""
+    sets = table(spark, d, "paragraphs").where("text is not null").groupBy("paragraph_id").agg(F.max("text").alias("text"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    place = sets.select("paragraph_id", F.posexplode(words).alias("pos", "w"))
+    after = Window.partitionBy("paragraph_id").orderBy("pos")
+    run = place.select("paragraph_id", F.concat_ws(" ", "w", *[F.lead("w", k).over(after) for k in range(1, 5)]).alias("sh"), F.lead("w", 4).over(after).alias("last_")).where("last_ is not null")
+    bags = run.groupBy("paragraph_id").agg(F.collect_set("sh").alias("bag"))  # bounded by a paragraph
+    pairs = QUERIES["j01_overlap"](spark, d).where("left_id <> right_id").join(bags.toDF("left_id", "a"), "left_id").join(bags.toDF("right_id", "b"), "right_id")
+    return pairs.select("left_id", "right_id", F.array_join(T.overlap_examples(F.col("a"), F.col("b")), " | ").alias("examples"))
+
+
+def sc43_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences, words, placeholders, figures and references of each document (A-35)."""
+    r = T.readiness(table(spark, d, "documents"), "doc_id")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return r.select("doc_id", "n_sentences", "n_long", "n_words", joined("placeholders"), joined("figure_refs"), "has_references", joined("dois"), "language_status", "reference_status")
+
+
+def sc44_dois(spark: SparkSession, d: str) -> DataFrame:
+    """DOIs in claims' texts and in paragraphs, each once per row, with how many rows name it."""
+    texts = table(spark, d, "paragraphs").select("text").union(table(spark, d, "claim_manifest").select("claim_text")).union(table(spark, d, "documents").select("text"))
+    found = texts.where("text is not null").distinct().select(F.explode(T.dois(F.col("text"))).alias("doi"))
+    return found.groupBy("doi").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (sc30_normal_space, sc37_overlap_examples, sc38_disclosure, sc39_classify_overlap, sc43_readiness, sc44_dois)}
+
+_PARAS = latest_paragraphs(DUCK)
+_DISCLOSES = r"""regexp_matches({0}, '(?i)(\bpreprint\b|\bthesis\b|\bdisclos[A-Za-z0-9_]*\b|\bderived from\b|\badapted from\b|\breproduced from\b)')"""
+_WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\p{Z}]"
+_DOIS = r"""list_transform(regexp_extract_all({0}, '(?i)\b10\.[0-9]{{4,9}}/[-._;()/:A-Z0-9]+'), lambda x: lower(rtrim(x, '.,;:)］】')))"""
+#: Each once, in order of the first place.
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+SQL |= {
+    "sc30_normal_space": rf"with {_PARAS} select paragraph_id, trim(regexp_replace(text, '{_WS}+', ' ', 'g')) as text from paras where text is not null",
+    "sc38_disclosure": f"with {_PARAS} select category, count(*) as n, count(*) filter ({_DISCLOSES.format('text')}) as disclosed from paras where text is not null group by category",
+    "sc39_classify_overlap": f"""with o as ({SQL["j01_overlap"]}), {_PARAS},
+p as (select left_id, right_id, similarity, [l.section, r.section] as s, [l.category, r.category] as c, {_DISCLOSES.format("concat(coalesce(l.text, ''), chr(10), coalesce(r.text, ''))")} as told
+ from o join paras l on l.paragraph_id = left_id join paras r on r.paragraph_id = right_id),
+k as (select *, case when list_contains(s, 'methods') then 1 when told and list_has_any(c, ['thesis', 'preprints', 'preprint']) then 2
+ when list_contains(s, 'results') and similarity >= 0.45 and not told then 3 when list_has_any(s, ['abstract', 'conclusion']) and similarity >= 0.5 and not told then 4 else 5 end as k from p)
+select left_id, right_id, similarity::double as similarity, ['methods_boilerplate_overlap', 'self_overlap_candidate', 'text_overlap_candidate', 'text_overlap_candidate', 'text_overlap_candidate'][k] as kind,
+ ['R2_max', 'R2_max', 'R3_possible', 'R3_possible', 'R2_possible'][k] as risk,
+ concat('text_overlap_candidate', [',methods_boilerplate_overlap', ',self_overlap_candidate,disclosed_prior_text_overlap', ',results_text_overlap', ',abstract_conclusion_overlap', ''][k]) as tags from k""",
+    "sc37_overlap_examples": f"""with o as ({SQL["j01_overlap"]}), t as (select paragraph_id, regexp_extract_all(lower(max(text)), '[a-z0-9]+') as t from paragraphs where text is not null group by 1),
+b as (select paragraph_id, list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))) as bag from t where len(t) >= 5)
+select left_id, right_id, array_to_string(list_sort(list_intersect(x.bag, y.bag))[1:5], ' | ') as examples from o join b x on x.paragraph_id = left_id join b y on y.paragraph_id = right_id where left_id <> right_id""",
+    "sc43_readiness": rf"""with t as (select distinct doc_id, text from documents where doc_id is not null and text is not null),
+s as (select *, regexp_extract(text, '(?ims)^{_WS}*(?:references|bibliography){_WS}*$(.*)', 1) as section,
+ list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[A-Za-z0-9]+|[一-鿿]'))), lambda n: n > 0) as lengths from t),
+m as (select *, list_sort(list_distinct(regexp_extract_all(text, '(?i)\b(TODO|TBD|XXX|INSERT|PLACEHOLDER|AUTHOR QUERY)\b'))) as holders,
+ list_sort(list_distinct(regexp_extract_all(text, '(?i)\b(?:Fig\.?|Figure)[ \t\r\n]+([A-Za-z0-9]+)', 1))) as figs, {_DOIS.format("case when section <> '' then section else text end")} as found from s)
+select doc_id, len(lengths) as n_sentences, len(list_filter(lengths, lambda n: n >= 45)) as n_long, coalesce(list_sum(lengths), 0)::bigint as n_words, array_to_string(holders, '|') as placeholders, array_to_string(figs, '|') as figure_refs,
+ section <> '' as has_references, array_to_string({_ONCE.format("found")}, '|') as dois,
+ case when len(list_filter(lengths, lambda n: n >= 45)) > 0 or len(holders) > 0 then 'needs_attention' else 'ready_for_manual_review' end as language_status,
+ case when len(found) = 0 then 'needs_attention' else 'ready_for_manual_review' end as reference_status from m""",
+    "sc44_dois": f"""with t as (select text from paragraphs union select claim_text from claim_manifest union select text from documents), f as (select list_distinct({_DOIS.format("text")}) as found from t where text is not null)
+select doi, count(*) as n from (select unnest(found) as doi from f) group by doi""",
+}

@@ -3,9 +3,9 @@
 import pytest
 
 import oracle
-from quillon.plans import data_problems, image_queries, package_queries, screen_queries, stream_queries, text_queries
+from quillon.plans import data_problems, image_queries, package_queries, provenance_queries, screen_queries, stream_queries, text_queries
 
-MODULES = (data_problems, image_queries, package_queries, screen_queries, stream_queries, text_queries)
+MODULES = (data_problems, image_queries, package_queries, provenance_queries, screen_queries, stream_queries, text_queries)
 PAIRS = [(n, m.QUERIES[n], m.SQL[n]) for m in MODULES for n in m.QUERIES if n in m.SQL]
 
 
