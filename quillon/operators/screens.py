@@ -123,7 +123,7 @@ def _shares(cells: DataFrame, value: Column) -> DataFrame:
 
 def terminal_digits(cells: DataFrame, dominance: float = 0.65, min_count: int = MIN_DIGITS) -> DataFrame:
     """(table_id, col, digit, n, total, share, flagged): the most frequent last digit, ties to the one met first."""
-    s = _shares(cells.where("col <> 'n'"), N.terminal_digit(F.col("text"))).where(F.col("total") >= min_count)
+    s = _shares(cells.where("col <> 'n'"), N.terminal_of(F.col("text"))).where(F.col("total") >= min_count)
     top = s.groupBy("table_id", "col", "total").agg(F.max_by("v", F.struct("n", -F.col("first"), "v")).alias("digit"), F.max("n").alias("n"))
     share = F.col("n") / F.col("total")
     return top.select("table_id", "col", "digit", "n", "total", F.round(share, 6).alias("share"), (share >= dominance).alias("flagged"))
@@ -131,7 +131,7 @@ def terminal_digits(cells: DataFrame, dominance: float = 0.65, min_count: int =
 
 def rounding(cells: DataFrame, threshold: float = 0.85, min_count: int = MIN_DIGITS) -> DataFrame:
     """(table_id, col, total, share, flagged): share of values that end in 0 or 5."""
-    d = _by_text(cells.where("col <> 'n'")).withColumn("d", N.terminal_digit(F.col("text"))).where("d is not null")
+    d = _by_text(cells.where("col <> 'n'")).withColumn("d", N.terminal_of(F.col("text"))).where("d is not null")
     g = d.groupBy("table_id", "col").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("d").isin("0", "5"), F.col("n")).otherwise(0)).alias("k")).where(F.col("total") >= min_count)
     share = F.col("k") / F.col("total")
     return g.select("table_id", "col", "total", F.round(share, 6).alias("share"), (share >= threshold).alias("flagged"))
@@ -142,7 +142,7 @@ def precision_mix(cells: DataFrame, min_count: int = MIN_DIGITS) -> DataFrame:
 
     ``mixed``: several numbers of decimals, the dominant one with at most 0.8; ``differs``: the table's columns have several dominant ones.
     """
-    s = _shares(cells.where("col <> 'n'"), N.decimal_places(F.col("text"))).where(F.col("total") >= min_count)
+    s = _shares(cells.where("col <> 'n'"), N.places_of(F.col("text"))).where(F.col("total") >= min_count)
     top = s.groupBy("table_id", "col", "total").agg(F.max_by("v", F.struct("n", -F.col("first"), "v")).alias("places"), F.max("n").alias("n"), F.count("*").alias("n_places"))
     w = Window.partitionBy("table_id")
     share = F.col("n") / F.col("total")
@@ -218,13 +218,13 @@ def column_relations(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     only if all values differ. It is checked on neighbours in the order of one column, within a table.
     """
     lt, rt = N.time_token(F.col("left")), N.time_token(F.col("right"))
-    own = pairs.where(~F.col("left").isin(*N.SUMMARY_COLUMNS) & ~F.col("right").isin(*N.SUMMARY_COLUMNS) & (lt.isNull() | rt.isNull() | (lt == rt)))
-    f = fits(own)
+    wanted = ~F.col("left").isin(*N.SUMMARY_COLUMNS) & ~F.col("right").isin(*N.SUMMARY_COLUMNS) & (lt.isNull() | rt.isNull() | (lt == rt))
     keys = ["table_id", "left", "right"]
+    f = fits(pairs).where(wanted)  # names are looked at once per pair of columns, not per row
     w = Window.partitionBy(*keys).orderBy("x", "row_idx")
     rises = (F.col("x") > F.lag("x").over(w)) & (F.col("y") > F.lag("y").over(w))
     # Only these can have equal ranks and all values different; the estimates are ten standard errors from it.
-    high = own.join(f.where(~_exact(tolerance) & (F.col("corr") > 0) & (F.least("dx", "dy") >= 0.8 * F.col("n"))).select(*keys), keys)
+    high = pairs.join(f.where(~_exact(tolerance) & (F.col("corr") > 0) & (F.least("dx", "dy") >= 0.8 * F.col("n"))).select(*keys), keys)
     order = high.withColumn("up", F.coalesce(rises, F.lit(True))).groupBy(*keys).agg(F.min("up").alias("same_rank"))
     named = f.join(order, keys, "left")
     relation = F.when(_exact(tolerance), N.relation_label(F.col("slope"), F.col("intercept"), F.col("scale"), tolerance)).when(F.col("same_rank"), "same_rank").when(F.abs("corr") >= 0.995, "correlated")
@@ -233,18 +233,19 @@ def column_relations(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
 def digit_preservation(pairs: DataFrame, share: float = 0.85, min_digits: int = 8) -> DataFrame:
     """(table_id, left, right, digit, n, share, flagged): how often paired values have an equal ones, first decimal or last digit."""
-    kinds = {"ones": N.ones_digit, "first_decimal": N.first_decimal_digit, "terminal": N.terminal_digit}
-    digits = F.explode(F.array(*[F.struct(F.lit(k).alias("digit"), f(F.col("x_text")).alias("a"), f(F.col("y_text")).alias("b")) for k, f in kinds.items()]))
-    d = pairs.select("table_id", "left", "right", digits.alias("d")).select("table_id", "left", "right", "d.*").where("a is not null and b is not null")
-    g = d.groupBy("table_id", "left", "right", "digit").agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("s")).where(F.col("n") >= min_digits)
+    kinds = {"ones": N.ones_of, "first_decimal": N.first_decimal_of, "terminal": N.terminal_of}
+    same = {k: f(F.col("x_text")) == f(F.col("y_text")) for k, f in kinds.items()}  # null unless both have the digit
+    counts = [c for k, e in same.items() for c in (F.count(e).alias(f"n_{k}"), F.count_if(e).alias(f"k_{k}"))]
+    g = pairs.groupBy("table_id", "left", "right").agg(*counts)
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("digit"), F.col(f"n_{k}").alias("n"), (F.col(f"k_{k}") / F.nullif(F.col(f"n_{k}"), F.lit(0))).alias("s")) for k in kinds]))
+    g = g.select("table_id", "left", "right", rows.alias("d")).select("table_id", "left", "right", "d.*").where(F.col("n") >= min_digits)
     return g.select("table_id", "left", "right", "digit", "n", F.round("s", 6).alias("share"), (F.col("s") >= share).alias("flagged"))
 
 
 def time_shifts(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """(table_id, base_a, base_b, n_times, n_offsets): groups of columns shifted by a constant at two or more times."""
     lt, rt = N.time_token(F.col("left")), N.time_token(F.col("right"))
-    f = fits(pairs.where(lt == rt))
-    near = f.where((F.abs(F.col("slope") - 1) <= 0.01) & (F.abs("intercept") > tolerance * F.col("scale")) & (F.col("worst") <= tolerance * F.col("scale")))
+    near = fits(pairs).where(lt == rt).where((F.abs(F.col("slope") - 1) <= 0.01) & (F.abs("intercept") > tolerance * F.col("scale")) & (F.col("worst") <= tolerance * F.col("scale")))
     a, b = N.time_base(F.col("left")), N.time_base(F.col("right"))
     g = near.groupBy("table_id", F.least(a, b).alias("base_a"), F.greatest(a, b).alias("base_b"))
     return g.agg(F.count("*").alias("n_times"), F.count_distinct(F.round("intercept", 6)).alias("n_offsets")).where("n_times >= 2")
@@ -277,9 +278,9 @@ def repeated_increments(series: DataFrame, min_rows: int = 3) -> DataFrame:
 def sequence_reuse(sequences: DataFrame, min_length: int = 4) -> DataFrame:
     """(n_values, n_columns, n_files, first_column): equal number sequences in two or more files.
 
-    ``sequences`` has (file, col, values array<double>), values to ten places; files hold one array per column.
+    ``sequences`` has (file, col, values array<double>), values to ten places; files hold one array per column. Summary columns are left out.
     """
-    s = sequences.where(F.size("values") >= min_length).withColumn("v", F.transform("values", lambda x: F.round(x, 10)))
+    s = sequences.where(~F.col("col").isin(*N.SUMMARY_COLUMNS)).where(F.size("values") >= min_length).withColumn("v", F.transform("values", lambda x: F.round(x, 10)))
     g = s.groupBy("v").agg(F.count("*").alias("n_columns"), F.count_distinct("file").alias("n_files"), F.min(F.concat_ws(":", "file", "col")).alias("first_column"))
     return g.where("n_files >= 2").select(F.size("v").alias("n_values"), "n_columns", "n_files", "first_column")
 
@@ -292,3 +293,16 @@ def pseudoreplication(df: DataFrame, table_id: Column, group: Column, biological
         F.coalesce(F.bool_or(F.lower(basis).isin("field", "fields", "well", "wells", "technical", "cell", "cells")), F.lit(False)).alias("technical_basis"),
     )
     return g.where("n_biological >= 1 and n_technical > n_biological")
+
+
+def time_columns(cells: DataFrame, min_columns: int = 3, all_columns: int = 4, min_values: int = 3) -> DataFrame:
+    """(table_id, base, n_columns, columns): columns that follow one another in time, by what their names have in common.
+
+    ``cells`` has (table_id, col, col_pos, value). A table without ``min_columns`` such columns of one name counts as one series if it has
+    ``all_columns`` numeric columns. Columns count with ``min_values`` numbers or more.
+    """
+    per = cells.where("value is not null").groupBy("table_id", "col", "col_pos").agg(F.count("*").alias("n")).where(F.col("n") >= min_values)
+    listed = (F.count("*").alias("n_columns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_pos", "col"))), lambda x: x["col"]), ",").alias("columns"))
+    timed = per.where(N.looks_time_column(F.col("col"))).groupBy("table_id", N.time_base(F.col("col")).alias("base")).agg(*listed).where(F.col("n_columns") >= min_columns)
+    rest = per.join(timed.select("table_id").distinct(), "table_id", "left_anti").groupBy("table_id", F.lit("__time_series__").alias("base")).agg(*listed)
+    return timed.unionByName(rest.where(F.col("n_columns") >= all_columns))

@@ -47,11 +47,15 @@ def _bits(d: Spark, condition: str) -> str:
     return f"list_reduce(list_transform(range(64), lambda i: case when {condition} then case when i = 63 then (-9223372036854775808)::bigint else (1::bigint << i::int) end else 0::bigint end), lambda a, b: a | b)"
 
 
+def _falls(pick) -> str:
+    """Whether a row falls from column c to the next, drawn out to nine columns: column j of nine holds j parts of pixel j - 1 and 8 - j of pixel j."""
+    return f"(i % 8) * {pick('greatest(i, 1)')} + (7 - 2 * (i % 8)) * {pick('i + 1')} - (7 - i % 8) * {pick('least(i + 2, 64)')} > 0"
+
+
 def _hashes(d: Spark) -> str:
     pick = (lambda i: f"element_at(px, cast({i} as int))") if d.spark else (lambda i: f"px[({i})::int]")
     average = _bits(d, f"{pick('i + 1')} * 64 >= total")
-    right = "i + if(i % 8 = 7, -6, 2)" if d.spark else "case when i % 8 = 7 then i - 6 else i + 2 end"
-    difference = _bits(d, f"{pick('i + 1')} > {pick(right)}")
+    difference = _bits(d, _falls(pick))
     return f"{_images(d)}, totals as (select id, px, {_sum(d, 'px')} as total from images), hashes as (select id, px, {average} as a, {difference} as d from totals)"
 
 
@@ -65,10 +69,9 @@ def sc81_hashes(d: Spark) -> str:
 
 
 def sc84_symmetries(d: Spark) -> str:
-    """Each image under the eight symmetries: its first row."""
+    """Each image under the eight symmetries."""
     per = " union all ".join(f"select id, '{n}' as symmetry, {_permuted(d, n)} as p from raw" for n in SYMMETRIES)
-    cut = "slice(p, 1, 8)" if d.spark else "p[1:8]"
-    return f"with {_images(d)}, per as ({per}) select id, symmetry, {d.join(f'{d.transform}({cut}, {d.fn(chr(120), f'cast(x as {d.text})')})', ',')} as first_row from per"
+    return f"with {_images(d)}, per as ({per}) select id, symmetry, {d.join(f'{d.transform}(p, {d.fn(chr(120), f'cast(x as {d.text})')})', ',')} as pixels from per"
 
 
 def sc85_luma(d: Spark) -> str:
@@ -120,21 +123,35 @@ def _turned(d: Spark) -> str:
     return f"{_images(d)}, turned as ({turned})"
 
 
+def _basis() -> str:
+    """What each pixel of an 8 x 8 image, drawn out four times, adds to each low frequency but the constant, as a list of lists."""
+    from quillon.operators.images import cosine_basis
+
+    b = cosine_basis().reshape(8, 8, 4).sum(2)
+    return "[" + ", ".join("[" + ", ".join(repr(float(b[k, r] * b[m, c])) for r in range(8) for c in range(8)) + "]" for k in range(8) for m in range(8) if k or m) + "]"
+
+
+_LOW = f"list_transform({_basis()}, lambda w: list_dot_product(w, cast(px as double[])))"
+
+
+def _perceptual_sql() -> str:
+    return "list_reduce(list_transform(range(63), lambda i: case when low[(i + 1)::int] >= list_sort(low)[32] then 1::bigint << (62 - i)::int else 0::bigint end), lambda a, b: a | b)"
+
+
 def _near_pairs(d: Spark) -> str:
     """Pairs of images with a hash at most THRESHOLD bits away under a symmetry of the right one.
 
     Each hash is cut into one band more than the bits that may differ, so near hashes agree in a band; equal bands are joined, not all pairs.
-    The perceptual hash comes from the view turned_perceptual; the SQL for comparison goes without it.
+    The perceptual hash comes from the view turned_perceptual, in the SQL for comparison from dot products.
     """
-    methods = ("a", "d", "p") if d.spark else ("a", "d")
+    methods = ("a", "d", "p")
     own, both_ = ", ".join(methods), ", ".join(f"l.{m} as l{m}, r.{m} as r{m}" for m in methods)
-    perceptual = ", p from totals left join turned_perceptual on code = id * 8 + k" if d.spark else " from totals"
+    perceptual = ", p from totals left join turned_perceptual on code = id * 8 + k" if d.spark else f", {_perceptual_sql()} as p from (select *, {_LOW} as low from totals)"
     band = lambda m, b: f"(({f'shiftright({m}, {b * 9})' if d.spark else f'({m} >> {b * 9})'}) & {1023 if b == BANDS - 1 else 511})"
     made = [(m, b, band(m, b)) for m in methods for b in range(BANDS)]
     bands = d.array(*[f"struct('{m}' as method, {b} as band, {v} as v)" if d.spark else f"{{'method': '{m}', 'band': {b}, 'v': {v}}}" for m, b, v in made])
     pick = (lambda i: f"element_at(px, cast({i} as int))") if d.spark else (lambda i: f"px[({i})::int]")
-    right = "i + if(i % 8 = 7, -6, 2)" if d.spark else "case when i % 8 = 7 then i - 6 else i + 2 end"
-    a, df = _bits(d, f"{pick('i + 1')} * 64 >= total"), _bits(d, f"{pick('i + 1')} > {pick(right)}")
+    a, df = _bits(d, f"{pick('i + 1')} * 64 >= total"), _bits(d, _falls(pick))
     return f"""{_turned(d)}, totals as (select id, symmetry, k, px, {_sum(d, 'px')} as total from turned),
 hashed as (select id, symmetry, k, {a} as a, {df} as d{perceptual}), banded as (select id, symmetry, k, {own}, {d.unnest(bands)} as b from hashed),
 keys as (select id, symmetry, k, {own}, b.method as method, b.band as band, b.v as v from banded),
@@ -273,6 +290,7 @@ QUERIES |= {"sc83_perceptual_hashes": sc83_perceptual_hashes, "g01_image_cluster
 _REACH = f"""with recursive {_near_pairs(DUCK)}, sym as (select left_id as a, right_id as b from edges union select right_id, left_id from edges),
 reach(a, b) as (select a, b from sym union select reach.a, sym.b from reach join sym on sym.a = reach.b), label as (select a as image, least(a, min(b)) as cluster from reach group by a)"""
 SQL |= {
+    "sc83_perceptual_hashes": f"select id, {_perceptual_sql()} as p from (select vec_id as id, {_LOW.replace('px', 'embedding')} as low from embeddings where len(embedding) = 64)",
     "g01_image_clusters": f"{_REACH} select image, cluster from label",
     "g02_image_cluster_summary": f"""{_REACH}, e as (select cluster, left_id, right_id, distance, count(*) over (partition by cluster) as n_edges, row_number() over (partition by cluster order by distance, left_id, right_id) as k from edges join label on image = left_id)
 select cluster, n_images, n_edges, left_id, right_id from e join (select cluster, count(*) as n_images from label group by 1) using (cluster) where k = 1""",

@@ -178,17 +178,21 @@ def a23_repeated_increments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a24_time_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of three or more time columns by base name."""
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(("a_day0", "a_day2", "a_day7", "b_day0", "b_day2", "b_day4", "b_day9", "weight", "t1", "t2"))], "pos int, header string")
-    g = df.where(N.looks_time_column(F.col("header"))).groupBy(N.time_base(F.col("header")).alias("base"))
-    return g.agg(F.count("*").alias("n_columns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "header"))), lambda x: x["header"]), ",").alias("columns")).where("n_columns >= 3")
+    """Series of columns in the figure tables and in a table of orders by customer and quarter."""
+    q = F.quarter("o_orderdate")
+    quarters = table(spark, d, "orders").groupBy("o_custkey").agg(*[F.count_if(q == k).alias(f"orders_week{k}") for k in (1, 2, 3, 4)], F.max("o_totalprice").alias("weight"))
+    wide = S.melt(quarters, F.lit("orders"), F.col("o_custkey"), [c for c in quarters.columns if c != "o_custkey"]).withColumn("value", F.col("raw").cast("double"))
+    columns = ["table_id", "col", "col_pos", "value"]
+    return S.time_columns(wide.select(*columns).unionByName(S.numeric_cells(figure_cells(spark, d)).select(*columns)))
 
 
 def a25_sequence_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """Equal whole sequences of all numeric columns, in row order."""
+    """Equal whole sequences of numbers, in row order, in two or more files: the figure tables' columns, and the quantities of each order as a file."""
     cells = S.numeric_cells(figure_cells(spark, d))
     seq = cells.groupBy("table_id", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "value"))), lambda x: x["value"]).alias("values"))
-    return S.sequence_reuse(seq.select(F.col("table_id").alias("file"), "col", "values"))
+    lines = table(spark, d, "lineitem").groupBy(F.concat(F.lit("order-"), "l_orderkey").alias("file"))
+    orders = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("double")).alias("values"))
+    return S.sequence_reuse(seq.select(F.col("table_id").alias("file"), "col", "values").unionByName(orders.select("file", F.lit("quantity").alias("col"), "values")))
 
 
 def a26_pseudoreplication(spark: SparkSession, d: str) -> DataFrame:
@@ -326,6 +330,8 @@ steps as (select *, [v[2] - v[1], v[3] - v[2], v[4] - v[3]] as d from series)"""
 _PSEUDO = """select table_id, grp, count(distinct bio) as n_biological, count(distinct case when tech is not null then coalesce(bio, '') || chr(1) || tech end) as n_technical, count(*) as n_rows,
 coalesce(bool_or(basis in ('field', 'fields', 'well', 'wells', 'technical', 'cell', 'cells')), false) as technical_basis from src group by 1, 2 having n_biological >= 1 and n_technical > n_biological"""
 
+_TIME = "t[0-9]+|day[0-9]+|d[0-9]+|week[0-9]+|w[0-9]+|hour[0-9]+|h[0-9]+|baseline|endpoint"
+
 SQL = {
     "sc_numeric_text": f"""with {_VALUES}, t as (select raw, {_raw("raw")} as text from vals)
 select raw, text, {_kind("text")} as kind, {_norm("text")} as plain, {_norm("text", f"'{N.POINT}'")} as as_point, {_norm("text", f"'{N.COMMA}'")} as as_comma, {_norm("text", f"'{N.MIXED}'")} as as_mixed,
@@ -375,9 +381,16 @@ select table_id, least(p, q) as base_a, greatest(p, q) as base_b, count(*) as n_
  from (select *, (d[1] + d[2] + d[3]) / 3 as m from steps)) select table_id, count(*) as n_rows, count(*) filter (linear) as n_linear, round(count(*) filter (linear) / count(*), 6) as share,
 count(*) >= 3 and count(*) filter (linear) / count(*) >= 0.6 as flagged from f group by 1""",
     "a23_repeated_increments": f"""with {_SERIES} select table_id, concat_ws(',', d[1]::decimal(18,4)::varchar, d[2]::decimal(18,4)::varchar, d[3]::decimal(18,4)::varchar) as pattern, count(*) as n_rows from steps group by 1, 2 having count(*) >= 3""",
-    "a25_sequence_reuse": f"""with {_CELLS}, top as (select * from (select *, row_number() over (partition by table_id, col order by row_idx) as k from numeric_cells where col in ('n', 'sem')) where k <= 5),
-seqs as (select table_id, col, list(round(val, 10) order by k) as v from top group by 1, 2 having count(*) >= 4)
-select len(v) as n_values, count(*) as n_columns, count(distinct table_id) as n_files, min(table_id || ':' || col) as first_column from seqs group by v having count(distinct table_id) >= 2""",
+    "sc_headers": rf"""with v as (select unnest({list(HEADERS)!r}) as header), w as (select header, lower(regexp_extract(header, '(?i)(?:^|[^A-Za-z0-9])({_TIME})(?:$|[^A-Za-z0-9])', 1)) as token from v)
+select header, replace(replace(lower(trim(header)), ' ', '_'), '-', '_') as normal, nullif(token, '') as token, regexp_matches(header, '(?i)(^|[_ -])({_TIME})($|[_ -])') as looks_time,
+coalesce(nullif(trim(regexp_replace(regexp_replace(replace(header, '_', ' '), '(?i)\b({_TIME})\b', '', 'g'), '[ -]+', '_', 'g'), '_'), ''), '__time_series__') as base from w""",
+    "a24_time_columns": f"""with {_CELLS}, q as (select o_custkey, {", ".join(f"count(*) filter (quarter(o_orderdate) = {k}) as w{k}" for k in (1, 2, 3, 4))} from orders group by 1),
+per as (select table_id, col, array_position(['mean', 'sd', 'sem', 'n', 'p_value', 'value'], col) as pos from numeric_cells group by 1, 2 having count(*) >= 3),
+timed as (select 'orders' as table_id, 'orders' as base, 4::bigint as n_columns, 'orders_week1,orders_week2,orders_week3,orders_week4' as columns from q having count(*) >= 3)
+select * from timed union all select table_id, '__time_series__', count(*), string_agg(col, ',' order by pos) from per group by 1 having count(*) >= 4""",
+    "a25_sequence_reuse": f"""with {_CELLS}, seqs as (select table_id, col, list(round(val, 10) order by row_idx) as v from numeric_cells where col = 'value' group by 1, 2
+ union all select 'order-' || l_orderkey, 'quantity', list(l_quantity::double order by l_linenumber, l_quantity) from lineitem group by l_orderkey)
+select len(v) as n_values, count(*) as n_columns, count(distinct table_id) as n_files, min(table_id || ':' || col) as first_column from seqs where len(v) >= 4 group by v having count(distinct table_id) >= 2""",
     "a26_pseudoreplication": f"""with src as (select concat_ws('/', package_root, figure_file) as table_id, 'all' as grp, nullif(animal_id, '') as bio, nullif(field_id, '') as tech, lower(reported_n_basis) as basis
  from {_latest("figure_6_field_measurements")}) {_PSEUDO}""",
     "a26_pseudoreplication_events": f"with src as (select 'events' as table_id, event_type as grp, user_id::varchar as bio, event_id::varchar as tech, 'event' as basis from events) {_PSEUDO}",
