@@ -93,43 +93,55 @@ def _digits(t: Column) -> Column:
     return F.regexp_replace(t, "[^0-9]", "")
 
 
+def _plain(c: Column) -> Column:
+    return let(normal_number_text(c), _unless_exponent)
+
+
 def _unless_exponent(t: Column) -> Column:
     return F.when(~F.lower(t).contains("e"), t)
 
 
-def terminal_of(t: Column) -> Column:
-    """The last digit of a normal number text, as numeric cells have it; like the others here a plain expression, without lambdas."""
-    return F.nullif(F.right(_digits(_unless_exponent(t)), F.lit(1)), F.lit(""))
+def terminal_digit(c: Column) -> Column:
+    return F.nullif(F.right(_digits(_plain(c)), F.lit(1)), F.lit(""))
 
 
-def places_of(t: Column) -> Column:
-    t = _unless_exponent(t)
-    return F.when(t.contains("."), F.length(F.regexp_replace(F.regexp_replace(t, r"^[^.]*\.", ""), "%+$", ""))).when(t.isNotNull(), 0)
+def decimal_places(c: Column) -> Column:
+    return let(_plain(c), lambda t: F.when(t.contains("."), F.length(F.regexp_replace(F.regexp_replace(t, r"^[^.]*\.", ""), "%+$", ""))).when(t.isNotNull(), 0))
 
 
-def ones_of(t: Column) -> Column:
-    return F.nullif(F.right(_digits(F.regexp_replace(_unless_exponent(t), r"\..*$", "")), F.lit(1)), F.lit(""))
+def ones_digit(c: Column) -> Column:
+    return F.nullif(F.right(_digits(F.regexp_replace(_plain(c), r"\..*$", "")), F.lit(1)), F.lit(""))
 
 
-def first_decimal_of(t: Column) -> Column:
-    t = _unless_exponent(t)
-    return F.when(t.contains("."), F.nullif(F.left(_digits(F.regexp_replace(t, r"^[^.]*\.", "")), F.lit(1)), F.lit("")))
+def first_decimal_digit(c: Column) -> Column:
+    return let(_plain(c), lambda t: F.when(t.contains("."), F.nullif(F.left(_digits(F.regexp_replace(t, r"^[^.]*\.", "")), F.lit(1)), F.lit(""))))
 
 
-def terminal_digit(c: Column) -> Column:
-    return let(normal_number_text(c), terminal_of)
+# The same for texts that are known to be numbers with a decimal point, as numeric cells have them: without patterns and lambdas.
 
 
-def decimal_places(c: Column) -> Column:
-    return let(normal_number_text(c), places_of)
+def _bare(t: Column) -> Column:
+    return F.translate(_unless_exponent(t), "+-%", "")
 
 
-def ones_digit(c: Column) -> Column:
-    return let(normal_number_text(c), ones_of)
+def _decimals(t: Column) -> Column:
+    return F.when(t.contains("."), F.substring_index(_bare(t), ".", -1))
 
 
-def first_decimal_digit(c: Column) -> Column:
-    return let(normal_number_text(c), first_decimal_of)
+def terminal_of(t: Column) -> Column:
+    return F.nullif(F.right(F.translate(_bare(t), ".", ""), F.lit(1)), F.lit(""))
+
+
+def places_of(t: Column) -> Column:
+    return F.when(t.contains("."), F.length(_decimals(t))).when(_unless_exponent(t).isNotNull(), 0)
+
+
+def ones_of(t: Column) -> Column:
+    return F.nullif(F.right(F.substring_index(_bare(t), ".", 1), F.lit(1)), F.lit(""))
+
+
+def first_decimal_of(t: Column) -> Column:
+    return F.nullif(F.left(_decimals(t), F.lit(1)), F.lit(""))
 
 
 def first_significant_digit(v: Column) -> Column:

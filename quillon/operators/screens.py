@@ -231,15 +231,29 @@ def column_relations(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return named.select(*keys, "n", relation.alias("relation")).where("relation is not null")
 
 
-def digit_preservation(pairs: DataFrame, share: float = 0.85, min_digits: int = 8) -> DataFrame:
-    """(table_id, left, right, digit, n, share, flagged): how often paired values have an equal ones, first decimal or last digit."""
+#: Pairs of columns compared in one aggregate.
+PAIR_BLOCK = 24
+
+
+def digit_preservation(wide: DataFrame, table_id: Column, texts: dict[str, Column], share: float = 0.85, min_digits: int = 8) -> DataFrame:
+    """(table_id, left, right, digit, n, share, flagged): how often two columns of a row have an equal ones, first decimal or last digit.
+
+    ``texts`` are the columns' number texts by name, with a decimal point. Each cell's digits are read once; the pairs of columns are compared by sums over the
+    rows as they are, so nothing is multiplied but the figures of a table.
+    """
     kinds = {"ones": N.ones_of, "first_decimal": N.first_decimal_of, "terminal": N.terminal_of}
-    same = {k: f(F.col("x_text")) == f(F.col("y_text")) for k, f in kinds.items()}  # null unless both have the digit
-    counts = [c for k, e in same.items() for c in (F.count(e).alias(f"n_{k}"), F.count_if(e).alias(f"k_{k}"))]
-    g = pairs.groupBy("table_id", "left", "right").agg(*counts)
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("digit"), F.col(f"n_{k}").alias("n"), (F.col(f"k_{k}") / F.nullif(F.col(f"n_{k}"), F.lit(0))).alias("s")) for k in kinds]))
-    g = g.select("table_id", "left", "right", rows.alias("d")).select("table_id", "left", "right", "d.*").where(F.col("n") >= min_digits)
-    return g.select("table_id", "left", "right", "digit", "n", F.round("s", 6).alias("share"), (F.col("s") >= share).alias("flagged"))
+    names = list(texts)
+    read = wide.select(table_id.alias("table_id"), *[t.alias(f"t{i}") for i, t in enumerate(texts.values())])
+    read = read.select("table_id", *[f(F.col(f"t{i}")).alias(f"{k}{i}") for i in range(len(names)) for k, f in kinds.items()])
+    pairs, out = list(combinations(range(len(names)), 2)), None
+    for at in range(0, len(pairs), PAIR_BLOCK):
+        part = [(i, j, k) for i, j in pairs[at : at + PAIR_BLOCK] for k in kinds]
+        sums = [c for i, j, k in part for e in (F.col(f"{k}{i}") == F.col(f"{k}{j}"),) for c in (F.count(e).alias(f"n_{k}_{i}_{j}"), F.count_if(e).alias(f"k_{k}_{i}_{j}"))]
+        rows = [F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), F.lit(k).alias("digit"), F.col(f"n_{k}_{i}_{j}").alias("n"), F.col(f"k_{k}_{i}_{j}").alias("k")) for i, j, k in part]
+        g = read.groupBy("table_id").agg(*sums).select("table_id", F.explode(F.array(*rows)).alias("d")).select("table_id", "d.*").where(F.col("n") >= min_digits)
+        out = g if out is None else out.unionByName(g)
+    s = F.col("k") / F.col("n")
+    return out.select("table_id", "left", "right", "digit", "n", F.round(s, 6).alias("share"), (s >= share).alias("flagged"))
 
 
 def time_shifts(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:

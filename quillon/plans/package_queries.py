@@ -25,7 +25,21 @@ CATEGORY_RULES = [
 CATEGORIES = tuple(c for c, _, _ in CATEGORY_RULES)
 ROLES = {"figures": "figure_panel", "raw_images": "raw_image", "source_data": "source_data", "figure_assembly": "assembly_file", "manuscript": "manuscript", "supplementary": "supplementary", "protocols": "protocol", "statistics_code": "analysis_code"}
 NO_REFERENCE = ("", "na", "n/a", "none", "not_applicable", "not applicable", "-")
-EXPECTED = ("manuscript", "supplementary", "source_data", "figures", "raw_images", "figure_assembly", "protocols", "ethics_irb")
+#: Categories that a package of a mode and of a domain is expected to have.
+BASE_EXPECTED = {"internal": ("manuscript", "supplementary", "source_data", "figures"), "external": ("manuscript",)}
+DOMAIN_EXPECTED = {
+    "wetlab": ("raw_images", "figure_assembly"), "animal": ("protocols", "ethics_irb"), "cell": ("protocols",), "clinical": ("clinical_registration", "ethics_irb", "protocols"),
+    "omics": ("omics_accession", "source_data", "statistics_code"), "flow": ("flow_fcs", "protocols"),
+}
+
+
+def expected_categories(mode: str, domains: tuple[str, ...] = ()) -> list[str]:
+    """What a package should hold; an unknown mode counts as internal, an unknown domain adds nothing."""
+    base = BASE_EXPECTED.get(mode, BASE_EXPECTED["internal"])
+    return sorted({*base, *(c for d in domains for c in DOMAIN_EXPECTED.get(d.strip().lower(), ()))})
+
+
+EXPECTED = tuple(expected_categories("internal", ("wetlab", "animal")))
 #: Caps by tag; whether a contradiction tag lifts them.
 CAPS = {
     **dict.fromkeys(("weak_forensic_triage_signal", "weak_statistical_signal", "weak_signal", "terminal_digit", "precision_mixing", "cross_file_sequence_reuse", "benford_style", "p_value_clustering", "methods_boilerplate_overlap", "disclosed_prior_text_overlap"), ("R2", False)),
@@ -136,11 +150,12 @@ def r01_snapshot_manifest(d: Spark) -> str:
 
 
 def a27_missing_materials(d: Spark) -> str:
-    """Expected categories that a package lacks (J-15)."""
-    rows = [(c,) for c in EXPECTED]
-    return f"""with {_inventory(d)}, {d.values('expected', 'category', rows)}, packages as (select distinct package_root from inventory), have as (select distinct package_root, category from inventory),
-want as (select package_root, {d.unnest(d.array(*[f"'{c}'" for c in EXPECTED]))} as category from packages)
-select w.package_root, w.category from want w left join have h on h.package_root = w.package_root and h.category = w.category where h.category is null"""
+    """Expected categories that a package lacks (J-15), for each mode and domain."""
+    wanted = [f"'{m}|{x}|{c}'" for m in BASE_EXPECTED for x in DOMAIN_EXPECTED for c in expected_categories(m, (x,))]
+    return f"""with {_inventory(d)}, packages as (select distinct package_root from inventory), have as (select distinct package_root, category from inventory),
+want as (select package_root, {d.unnest(d.array(*wanted))} as mdc from packages),
+named as (select package_root, {d.extract('mdc', '^([^|]*)', 1)} as mode, {d.extract('mdc', '[|]([^|]*)[|]', 1)} as domain, {d.extract('mdc', '([^|]*)$', 1)} as category from want)
+select w.package_root, w.mode, w.domain, w.category from named w left join have h on h.package_root = w.package_root and h.category = w.category where h.category is null"""
 
 
 def j08_figures_to_sources(d: Spark) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import numbers as N
 from quillon.operators import screens as S
-from quillon.session import table
+from quillon.session import spread, table
 
 SUMMARY = ["mean", "sd", "sem", "n", "p_value"]
 PAIRED = ["control_day0", "treated_day0", "control_day2", "treated_day2", "doubled", "discount", "tax"]
@@ -40,7 +40,7 @@ def figure_cells(spark: SparkSession, d: str) -> DataFrame:
 def line_cells(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of lineitem with two places, by flag and status."""
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    li = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", *[F.col(c).cast("decimal(18,2)").alias(c) for c in cols])
+    li = spread(table(spark, d, "lineitem")).select("l_returnflag", "l_linestatus", "l_orderkey", *[F.col(c).cast("decimal(18,2)").alias(c) for c in cols])
     cells = S.melt(li, F.concat("l_returnflag", "l_linestatus"), F.col("l_orderkey"), cols)
     return cells.select("table_id", "row_idx", "col", "col_pos", F.col("raw").alias("text"), F.col("raw").cast("double").alias("value"))
 
@@ -132,14 +132,17 @@ def a16_repeated_summaries(spark: SparkSession, d: str) -> DataFrame:
     return S.repeated_summaries(S.summary_rows(fig7(spark, d), file_id(), "row_id"))
 
 
-def paired_columns(spark: SparkSession, d: str) -> DataFrame:
+def paired_wide(spark: SparkSession, d: str) -> DataFrame:
     """Columns of lineitem with planted relations, in tables of some thousand rows."""
     price, quantity = F.col("l_extendedprice").cast("decimal(18,2)").cast("double"), F.col("l_quantity").cast("decimal(18,2)").cast("double")
-    wide = table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         F.concat(F.lit("t"), F.pmod("l_suppkey", F.lit(20))).alias("table_id"), F.col("l_orderkey").alias("row_idx"), quantity.alias("control_day0"), (quantity + 10).alias("treated_day0"),
         price.alias("control_day2"), (price + 25.5).alias("treated_day2"), (price * 2).alias("doubled"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
     )
-    return S.column_pairs(wide, F.col("table_id"), F.col("row_idx"), PAIRED)
+
+
+def paired_columns(spark: SparkSession, d: str) -> DataFrame:
+    return S.column_pairs(paired_wide(spark, d), F.col("table_id"), F.col("row_idx"), PAIRED)
 
 
 def a17_fits(spark: SparkSession, d: str) -> DataFrame:
@@ -152,8 +155,7 @@ def a19_column_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a20_digit_preservation(spark: SparkSession, d: str) -> DataFrame:
-    pairs = paired_columns(spark, d).withColumn("x_text", F.col("x").cast("decimal(18,2)").cast("string")).withColumn("y_text", F.col("y").cast("decimal(18,2)").cast("string"))
-    return S.digit_preservation(pairs)
+    return S.digit_preservation(paired_wide(spark, d), F.col("table_id"), {c: F.col(c).cast("decimal(18,2)").cast("string") for c in PAIRED})
 
 
 def a21_time_shifts(spark: SparkSession, d: str) -> DataFrame:
