@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from quillon.plans import image_queries, package_queries, screen_queries
+from quillon.plans import image_queries, package_queries, provenance_queries, screen_queries
 
 SUMMARY = "row_id long, package_root string, figure_file string, comparison string, mean string, sd string, sem string, n string, p_value string, ingested_at timestamp"
 FIELDS = "row_id long, package_root string, figure_file string, animal_id string, field_id string, value string, reported_n_basis string, ingested_at timestamp"
@@ -22,12 +22,13 @@ def write(spark, tmp_path):
 
 
 def test_sequences_are_compared_whole_and_in_every_column(spark, write):
-    """Columns that agree in five values only are no reuse; equal ones are, whatever the column."""
+    """Sequences that agree in five values only are no reuse; equal ones are. Summary columns don't count."""
     rows = [(10 * f + k, "p", f"f{f}.csv", "c", f"{k}.{1 if f < 2 else f}5", f"{f}{k}.5", f"{f}.{k}", "8" if k < 5 else str(8 + f), None, T) for f in range(3) for k in range(7)]
     write("figure_7_summary", rows, SUMMARY)
+    write("lineitem", [(o, k, float(q)) for o, qs in ((1, (1, 2, 3, 4, 5)), (2, (1, 2, 3, 4, 5)), (3, (1, 2, 3, 4, 5, 9)), (4, (1, 2, 3, 4, 5, 8))) for k, q in enumerate(qs)], "l_orderkey long, l_linenumber int, l_quantity double")
     d = write("figure_6_field_measurements", [(100 + 10 * f + k, "p", f"m{f}.csv", "a", "b", f"{k * k}.25", "animals", T) for f in range(2) for k in range(6)], FIELDS)
     found = sorted(tuple(r) for r in screen_queries.a25_sequence_reuse(spark, d).collect())
-    assert found == [(6, 2, 2, "p/m0.csv:value"), (7, 2, 2, "p/f0.csv:mean")]
+    assert found == [(5, 2, 2, "order-1:quantity"), (6, 2, 2, "p/m0.csv:value")]
 
 
 FILES = "audit_id string, package_root string, snapshot_no int, created_at timestamp, path string, sha256 string, size_bytes long, role string, received_at timestamp"
@@ -43,15 +44,15 @@ def test_every_reference_of_an_assembly_row_is_a_link(spark, write):
         (3, "figures/b.png", None, "blot"),
         (4, "none", "raw_images/r.tif;raw_images/s.tif", "blot"),
     ]
-    d = write("assembly_manifest", [(k, "p", 1, f, s, "cropped_from", m, None, T, T) for k, f, s, m in links], LINKS)
-    run = lambda n: sorted((tuple(r) for r in package_queries.QUERIES[n](spark, d).collect()), key=repr)
+    d = write("assembly_manifest", [(k, "p", 1, f, s, "declared_derived_from", m, None, T, T) for k, f, s, m in links], LINKS)
+    run = lambda n: sorted((tuple(r) for r in (package_queries.QUERIES | provenance_queries.QUERIES)[n](spark, d).collect()), key=repr)
     a, b, r, s = paths
     assert run("j09_assembly_files") == sorted([(1, a, r), (1, a, s), (1, a, None), (2, a, r), (2, b, r), (3, b, None), (4, None, r), (4, None, s)], key=repr)
     assert run("j07_graph_edges") == [("p", 3, 2, 2)]
     assert run("j07_graph_warnings") == [("p", 8, 2, 2)]
-    assert run("prov05_modality_routing") == [("p", a, 2, "conflict"), ("p", b, 2, "scan")]
-    traced, lacking = "expected_traceability", "incomplete"
-    assert run("prov01_link_validation") == sorted([*[(k, traced, 0.98) for k in (1, 1, 2, 2)], (1, "unresolved", 0.0), *[(k, lacking, 0.0) for k in (3, 4, 4)]], key=repr)
+    assert run("prov05_modality_routing") == [("p", a, "chart,western_blot", "conflict"), ("p", b, "western_blot", "scan")]
+    traced = [(1, a, r, "chart"), (1, a, s, "chart"), (2, a, r, "western_blot"), (2, b, r, "western_blot")]
+    assert run("prov01_link_validation") == [(k, f, x, "declared_derived_from", m, "expected_traceability", 0.98) for k, f, x, m in traced]
 
 
 def test_tiles_with_unlike_signs_meet(spark, write):
